@@ -90,6 +90,8 @@ def token_coverage(reference: Column, candidate: Column) -> Column:
     Both are token arrays; counted by sorted distinct tokens, inside one row.
     """
 
+    candidate = F.coalesce(candidate, F.array().cast("array<string>"))
+
     def times(a: Column, t: Column) -> Column:
         return F.size(F.filter(a, lambda x: x == t))
 

@@ -123,7 +123,7 @@ def map_to_pages(
     """
     p = paragraphs.where(F.col("form") != "").select("document", "paragraph_id", "form")
     g = pages.select("document", "page", F.coalesce("form", F.lit("")).alias("page_form"))
-    pairs = p.join(g, "document", "left").select(
+    pairs = p.join(g, "document", "left").withColumn("page_form", F.coalesce("page_form", F.lit(""))).select(
         "document",
         "paragraph_id",
         "page",

@@ -21,7 +21,7 @@ def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle is not None:
-            SQL[f.__name__] = oracle
+            SQL[f.__name__] = sql.counts_as_bigint(oracle)
         return f
 
     return add
@@ -985,10 +985,10 @@ def count_f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_PAGES_SQL}, t AS (SELECT document_id, page_pos, block_pos, bbox FROM texts WHERE route = 'cheap' AND len(bbox) = 4),
-    p AS (SELECT a.document_id, a.page_pos, a.block_pos, a.bbox AS a, b.bbox AS b FROM t a JOIN t b ON a.document_id = b.document_id AND a.page_pos = b.page_pos AND b.block_pos = a.block_pos + 1),
-    i AS (SELECT *, greatest(least(a[3], b[3]) - greatest(a[1], b[1]), 0) * greatest(least(a[4], b[4]) - greatest(a[2], b[2]), 0) AS both,
-      greatest(a[3] - a[1], 0) * greatest(a[4] - a[2], 0) + greatest(b[3] - b[1], 0) * greatest(b[4] - b[2], 0) AS areas FROM p)
-    SELECT document_id, page_pos::BIGINT AS page_pos, block_pos::BIGINT AS block_pos, round(CASE WHEN areas - both > 0 THEN both / (areas - both) ELSE 0.0::DOUBLE END, 9) AS iou FROM i"""
+    pairs AS (SELECT a.document_id, a.page_pos, a.block_pos, a.bbox AS a, b.bbox AS b FROM t a JOIN t b ON a.document_id = b.document_id AND a.page_pos = b.page_pos AND b.block_pos = a.block_pos + 1),
+    i AS (SELECT *, greatest(least(a[3], b[3]) - greatest(a[1], b[1]), 0) * greatest(least(a[4], b[4]) - greatest(a[2], b[2]), 0) AS common,
+      greatest(a[3] - a[1], 0) * greatest(a[4] - a[2], 0) + greatest(b[3] - b[1], 0) * greatest(b[4] - b[2], 0) AS areas FROM pairs)
+    SELECT document_id, page_pos::BIGINT AS page_pos, block_pos::BIGINT AS block_pos, round(CASE WHEN areas - common > 0 THEN common / (areas - common) ELSE 0.0::DOUBLE END, 9) AS iou FROM i"""
 )
 def bbox_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of every block's box with that of the next block."""

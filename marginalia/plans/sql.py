@@ -38,3 +38,15 @@ def paper_key(c: str) -> str:
 def ideal(n: str) -> str:
     """Ideal gain of min(5, n) relevant items."""
     return f"list_sum([1.0::DOUBLE / log2(i + 1.0::DOUBLE) FOR i IN range(1, least(5, {n}) + 1)])"
+
+
+def counts_as_bigint(query: str) -> str:
+    """The query with count_if, a HUGEINT in DuckDB, written as a filtered count."""
+    while (at := query.find("count_if(")) >= 0:
+        start = end = at + len("count_if(")
+        depth = 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(query[end], 0)
+            end += 1
+        query = f"{query[:at]}(count(*) FILTER (WHERE {query[start : end - 1]})){query[end:]}"
+    return query
