@@ -21,7 +21,8 @@ Defined results
     (effective_weight), and the source is reported with share 0;
   * a weight that is null or not above 0 counts as no weight, max_repeats below 1 or null as 1;
     a source listed twice has its weights added and the smaller of its max_repeats;
-  * the last block of a source may be shorter; the same seed gives the same mix.
+  * the last block of a source may be shorter; the same seed gives the same mix;
+  * empty tables give an empty mix; other columns than those named are ignored.
 """
 
 from __future__ import annotations
@@ -107,6 +108,7 @@ class Mix:
         tokenizer: str = "byte_bpe_50k",
         folder: str = TOKENIZERS,
     ):
+        docs = docs.select("doc_id", "text", "source")
         self.docs, self.block, self.shards, self.seed = docs, block, shards, seed
         self.spark = docs.sparkSession
         self.weights = (

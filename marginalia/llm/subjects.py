@@ -21,7 +21,8 @@ Defined results
   * look-alike characters, case, plural endings and hyphens at line ends make no difference;
   * label rows whose subject is not a subject's name are ignored; a document whose readers all
     found none is a seed for none; repeated label rows count once;
-  * repeated texts are treated alike, each document by itself; ids that repeat are one document.
+  * repeated texts are treated alike, each document by itself; ids that repeat are one document;
+  * without subjects or without documents the result is empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -196,6 +197,8 @@ def document_subjects(
 
     documents(doc_id, text, paper_id), labels(doc_id, subject), names: the subjects.
     """
+    if not names:
+        return documents.sparkSession.createDataFrame([], "doc_id long, subject string, units int")
     columns = [f"s{i}" for i in range(len(names))]
     texts = documents.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", paper_key("paper_id").alias("paper")
