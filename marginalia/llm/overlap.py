@@ -26,7 +26,7 @@ from __future__ import annotations
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -143,55 +143,70 @@ def signed_records(df: DataFrame, record: str, split: str, question: str, captio
 
 
 def _rarest(items: DataFrame, share_left_out: float) -> DataFrame:
-    """items(text_id, digest, n, total) cut to the rarest that exceed (1 - share) of total."""
+    """items(tid, digest, n, total, ...) cut to the rarest that exceed (1 - share) of total."""
     counts = items.groupBy("digest").agg(F.count("*").alias("texts"))
-    w = Window.partitionBy("text_id").orderBy("texts", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("tid").orderBy("texts", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return (
         items.join(counts, "digest")
         .withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
         .where(F.col("before") <= F.col("total") * (1 - share_left_out) + 1e-9)
-        .select("text_id", "digest")
+        .drop("n", "total", "texts", "before")
     )
 
 
+def _fits(a: Column | str, b: Column | str, least: float) -> Column:
+    """The smaller is at least the share `least` of the larger."""
+    return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
+
+
 def overlaps(texts: DataFrame, shared: float = 0.25, least: float = 0.8) -> DataFrame:
-    """(id_a, id_b, fraction, caption_words, question_words) of distinct train and held-out texts.
+    """(tid_a, tid_b, fraction) of distinct train and held-out texts.
 
-    texts: distinct signed texts with flags in_train and in_held_out. fraction is the summed
-    length of the shared caption chunks over the longer caption.
+    texts: distinct signed texts with a number tid and flags in_train and in_held_out.
+    fraction is the summed length of the shared caption chunks over the longer caption. Pairs
+    are thinned by what is small before anything larger is fetched: lengths travel with the
+    keys, then question words are compared, then chunks, then whole texts.
     """
-    c = texts.select("text_id", F.col("n_caption").alias("total"), F.inline("c"))
-    q = texts.select("text_id", F.col("n_question").alias("total"), F.explode("q").alias("digest"), F.lit(1).alias("n"))
-    keys = (
+    c = texts.select("tid", F.col("n_caption").alias("total"), F.inline("c"))
+    slim = ("in_train", "in_held_out", "n_caption", "n_question")
+    q = texts.select("tid", *slim, F.col("n_question").alias("total"), F.explode("q").alias("digest"), F.lit(1).alias("n"))
+    sides = cut_lineage(
         _rarest(c, shared)
         .withColumnRenamed("digest", "c")
-        .join(_rarest(q, least).withColumnRenamed("digest", "q"), "text_id")
-        .select("text_id", F.xxhash64("c", "q").alias("key"))
+        .join(_rarest(q, least).withColumnRenamed("digest", "q"), "tid")
+        .select(F.xxhash64("c", "q").alias("key"), "tid", *slim)
     )
-    sides = cut_lineage(
-        keys.join(texts.select("text_id", "in_train", "in_held_out", "n_caption", "n_question"), "text_id")
-    )
-    a = sides.where("in_train").select("key", *[F.col(x).alias(f"{x}_a") for x in ("text_id", "n_caption", "n_question")])
-    b = sides.where("in_held_out").select("key", *[F.col(x).alias(f"{x}_b") for x in ("text_id", "n_caption", "n_question")])
 
-    def fits(n: str):
-        return F.least(f"{n}_a", f"{n}_b") >= least * F.greatest(f"{n}_a", f"{n}_b") - 1e-9
+    def side(flag: str, name: str) -> DataFrame:
+        return sides.where(flag).select("key", *[F.col(x).alias(f"{x}_{name}") for x in ("tid", "n_caption", "n_question")])
 
     met = (
-        a.join(b, "key")
-        .where(fits("n_caption") & fits("n_question"))
-        .select(F.col("text_id_a").alias("id_a"), F.col("text_id_b").alias("id_b"))
+        side("in_train", "a")
+        .join(side("in_held_out", "b"), "key")
+        .where(_fits("n_caption_a", "n_caption_b", least) & _fits("n_question_a", "n_question_b", least))
+        .select("tid_a", "tid_b")
+        .where("tid_a <> tid_b")
         .distinct()
     )
-    body = texts.select("text_id", "question", "caption", "n_caption", "c")
-    pairs = met.join(
-        body.select(F.col("text_id").alias("id_a"), F.struct("question", "caption", "n_caption", "c").alias("a")), "id_a"
-    ).join(body.select(F.col("text_id").alias("id_b"), F.struct("question", "caption", "n_caption", "c").alias("b")), "id_b")
+
+    def fetch(pairs: DataFrame, *columns: str) -> DataFrame:
+        for name in "ab":
+            body = texts.select(F.col("tid").alias(f"tid_{name}"), F.struct(*columns).alias(name))
+            pairs = pairs.join(body, f"tid_{name}")
+        return pairs
+
+    words_shared = F.size(F.array_intersect("a.q", "b.q"))  # never below the common subsequence
+    asked_alike = fetch(met, "q").where(words_shared >= least * F.greatest(F.size("a.q"), F.size("b.q")) - 1e-9)
     both = F.aggregate(
         F.filter("a.c", lambda x: F.array_contains(F.col("b.c.digest"), x["digest"])),
         F.lit(0),
         lambda s, x: s + x["n"],
     )
+    chunked = (
+        fetch(asked_alike.select("tid_a", "tid_b"), "c", "n_caption")
+        .select("tid_a", "tid_b", (both / F.greatest("a.n_caption", "b.n_caption")).alias("fraction"))
+        .where(F.col("fraction") >= shared)
+    )
 
     @F.pandas_udf("boolean")
     def near(qa: pd.Series, ca: pd.Series, qb: pd.Series, cb: pd.Series) -> pd.Series:
@@ -204,10 +219,9 @@ def overlaps(texts: DataFrame, shared: float = 0.25, least: float = 0.8) -> Data
         )
 
     return (
-        pairs.withColumn("fraction", both / F.greatest("a.n_caption", "b.n_caption"))
-        .where(F.col("fraction") >= shared)
+        fetch(chunked, "question", "caption")
         .where(near("a.question", "a.caption", "b.question", "b.caption"))
-        .select("id_a", "id_b", "fraction")
+        .select("tid_a", "tid_b", "fraction")
     )
 
 
@@ -222,7 +236,8 @@ def cross_split_pairs(
     least: float = 0.8,
 ) -> DataFrame:
     """(id_a, id_b, fraction): one train and one held-out row each, the smaller id first."""
-    rows = cut_lineage(signed_records(spread(df.select(record, split, question, caption)), record, split, question, caption, mean))
+    source = spread(df.select(record, split, question, caption))
+    rows = cut_lineage(signed_records(source, record, split, question, caption, mean))
     texts = cut_lineage(
         rows.groupBy("text_id")
         .agg(
@@ -230,11 +245,18 @@ def cross_split_pairs(
             F.max(F.col("side") != "train").alias("in_held_out"),
             *[F.first(x).alias(x) for x in ("question", "caption", "n_question", "n_caption", "q", "c")],
         )
+        .withColumn("tid", F.monotonically_increasing_id())  # fixed by the checkpoint
     )
+    named = texts.select("tid", "text_id")
     same = texts.where("in_train and in_held_out").select(
         F.col("text_id").alias("id_a"), F.col("text_id").alias("id_b"), F.lit(1.0).alias("fraction")
     )
-    near = overlaps(texts, shared, least).where("id_a <> id_b")
+    near = (
+        overlaps(texts, shared, least)
+        .join(named.select(F.col("tid").alias("tid_a"), F.col("text_id").alias("id_a")), "tid_a")
+        .join(named.select(F.col("tid").alias("tid_b"), F.col("text_id").alias("id_b")), "tid_b")
+        .select("id_a", "id_b", "fraction")
+    )
     ids = rows.select("row", "side", "text_id").distinct()
     train = ids.where("side = 'train'").select(F.col("row").alias("x"), F.col("text_id").alias("id_a"))
     held = ids.where("side <> 'train'").select(F.col("row").alias("y"), F.col("text_id").alias("id_b"))
