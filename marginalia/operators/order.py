@@ -13,25 +13,27 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 
 
-def running_before(df: DataFrame, order: list[Column], value: Column | int = 1, name: str = "before") -> DataFrame:
-    """df with the sum of value over all rows that come before a row in the order."""
-    amount = F.lit(value) if isinstance(value, int) else value
-    keys = [f"_o{i}" for i in range(len(order))]
-    placed = df.withColumn("_amount", amount)
-    for k, c in zip(keys, order):
-        placed = placed.withColumn(k, c)
+def running_sums(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of its value over all rows that come before a row."""
+    keys, amounts = [f"_o{i}" for i in range(len(order))], [f"_a{i}" for i in range(len(values))]
+    placed = df.withColumns(dict(zip(keys, order))).withColumns(dict(zip(amounts, values.values())))
     placed = cut_lineage(placed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_part").agg(F.sum("_amount").alias("_n"))
-    bases = totals.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    totals = placed.groupBy("_part").agg(*[F.sum(a).alias(a) for a in amounts])  # one row for each partition
+    bases = totals.select("_part", *[F.coalesce(F.sum(a).over(upto), F.lit(0)).alias(f"_b{a}") for a in amounts])
     inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.join(F.broadcast(bases), "_part")  # one row for each partition
-        .withColumn(name, F.col("_base") + F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-        .drop("_part", "_base", "_amount", *keys)
+        placed.join(F.broadcast(bases), "_part")
+        .withColumns({n: F.col(f"_b{a}") + F.coalesce(F.sum(a).over(inside), F.lit(0)) for n, a in zip(values, amounts)})
+        .drop("_part", *keys, *amounts, *[f"_b{a}" for a in amounts])
     )
 
 
+def running_before(df: DataFrame, order: list[Column], value: Column | int = 1, name: str = "before") -> DataFrame:
+    """df with the sum of value, or the number of rows, before a row in the order."""
+    return running_sums(df, order, {name: F.lit(value) if isinstance(value, int) else value})
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n rows of each group, with their rank from 1."""
     w = Window.partitionBy(*keys).orderBy(*order)

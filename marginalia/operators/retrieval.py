@@ -6,6 +6,10 @@ nine places, descending, then document, ascending. Null texts and vectors rank n
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,11 +72,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, start: int = 1, length: int | None = None) -> DataFrame:
-    """(query_id, doc_id, score): every query vector against every other vector.
-
-    The stated query set is broadcast when it is small enough for the session's broadcast
-    threshold and otherwise joined in blocks by the engine.
-    """
+    """(query_id, doc_id, score) of all pairs: for tables whose every score is wanted."""
 
     def part(c: Column) -> Column:
         return F.slice(c, start, length) if length else c
@@ -84,17 +84,67 @@ def dense(vectors: DataFrame, queries: DataFrame, start: int = 1, length: int |
     )
 
 
-def patches(embedding: Column, count: int = 4, width: int = 16) -> Column:
-    """A vector cut into equal patches."""
-    return F.array(*[F.slice(embedding, 1 + i * width, width) for i in range(count)])
+def _blocks(vectors: DataFrame, queries: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to a grid of cells, each holding about `rows` vectors of a side."""
+    nv, nq = (max(1, math.ceil(x.count() / rows)) for x in (vectors, queries))
+    v = vectors.select(
+        "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("j")
+    )
+    q = queries.select(  # own names, as both sides may stem from one table
+        F.col("vec_id").alias("query_id"),
+        F.col("embedding").alias("asked"),
+        F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("qi"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qj"),
+    )
+    return v, q
+
 
+def search(vectors: DataFrame, queries: DataFrame, n: int, start: int = 1, length: int | None = None, patch: int | None = None, rows: int = 8192) -> DataFrame:
+    """(query_id, doc_id, score, rank): the n best vectors for each query, itself left out, exact.
 
-def maxsim(vectors: DataFrame, queries: DataFrame, count: int = 4, width: int = 16) -> DataFrame:
-    """(query_id, doc_id, score): for each query patch the best document patch, summed up."""
-    v = vectors.where(F.col("embedding").isNotNull()).select("vec_id", patches(F.col("embedding"), count, width).alias("v"))
-    q = queries.where(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("query_id"), patches(F.col("embedding"), count, width).alias("q"))
-    score = F.aggregate("q", F.lit(0.0), lambda s, p: s + F.array_max(F.transform("v", lambda x: dot(p, x))))
-    return v.join(q, F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("doc_id"), score.alias("score"))
+    Blocks of vectors meet blocks of queries in one matrix product each and only each block's
+    n best go on, so no pair of a query and a vector leaves a task. start and length take a
+    part of the vectors. patch: width of patches for late interaction, each query patch taking
+    its best document patch. Rows without a vector are left out.
+    """
+    v, q = (x.where(F.col("embedding").isNotNull()).select("vec_id", "embedding") for x in (vectors, queries))
+    v, q = _blocks(v, q, rows)
+    stop = None if length is None else start - 1 + length
+
+    def matrix(vectors: pd.Series) -> np.ndarray:
+        return np.array([np.asarray(e, dtype=np.float64)[start - 1 : stop] for e in vectors])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "doc_id": [], "score": []}
+        if len(left) and len(right):
+            ids, asked = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+            a, b = matrix(left["embedding"]), matrix(right["asked"])
+            for at in range(0, len(b), 256):
+                part = b[at : at + 256]
+                if patch:
+                    k = a.shape[1] // patch
+                    docs = a[:, : k * patch].reshape(len(a), k, patch)
+                    scores = sum(
+                        np.max([part[:, x * patch : (x + 1) * patch] @ docs[:, y].T for y in range(k)], axis=0) for x in range(k)
+                    )
+                else:
+                    scores = part @ a.T
+                scores = np.round(scores, 9)
+                for row, one in zip(scores, asked[at : at + 256]):
+                    row = np.where(ids == one, -np.inf, row)
+                    m = min(n, int((row > -np.inf).sum()))
+                    if m < 1:
+                        continue
+                    cut = np.partition(row, -m)[-m]
+                    near = np.flatnonzero(row >= cut)
+                    best = near[np.lexsort((ids[near], -row[near]))][:m]
+                    out["query_id"] += [one] * m
+                    out["doc_id"] += ids[best].tolist()
+                    out["score"] += row[best].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
+
+    found = v.groupBy("i", "j").cogroup(q.groupBy("qi", "qj")).applyInPandas(run, "query_id long, doc_id long, score double")
+    return ranked(found, ["query_id"], n=n)
 
 
 def fuse(rankings: list[DataFrame], query: list[str], k: int = 60) -> DataFrame:
@@ -185,26 +235,28 @@ def signals(scores: DataFrame, query: list[str]) -> DataFrame:
 
     The entropy is that of the softmax over ln of the number of candidates.
     """
-    order = Window.partitionBy(*query).orderBy(F.col("score").desc(), F.col("doc_id"))
-    top = (
-        scores.withColumn("r", F.row_number().over(order))
-        .groupBy(*query)
-        .agg(
-            F.count("*").alias("candidates"),
-            F.max("score").alias("top_score"),
-            F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"),
-        )
+    top = scores.groupBy(*query).agg(
+        F.count("*").alias("candidates"),
+        F.max("score").alias("top_score"),
+        F.max_by("doc_id", F.struct("score", "doc_id")).alias("top_doc"),
     )
-    several = F.first("candidates") > 1
-    soft = (
-        scores.join(top, query)
-        .withColumn("x", F.exp(F.col("score") - F.col("top_score")))
-        .withColumn("p", F.col("x") / F.sum("x").over(Window.partitionBy(*query)))
+    joined = scores.join(top, query)
+    x = F.exp(F.col("score") - F.col("top_score"))
+    sums = joined.groupBy(*query).agg(
+        F.sum(x).alias("z"), F.max(F.when(F.col("doc_id") != F.col("top_doc"), F.col("score"))).alias("second")
     )
-    entropy = -F.sum(F.col("p") * F.log(F.col("p") + F.lit(1e-12))) / F.log(F.first("candidates"))
-    return soft.groupBy(*query).agg(
+    p = x / F.col("z")
+    entropy = joined.join(sums, query).groupBy(*query).agg(
         F.first("candidates").alias("candidates"),
         F.first("top_score").alias("top_score"),
-        F.when(several, F.first("top_score") - F.first("second")).otherwise(0.0).alias("top_margin"),
-        F.when(several, entropy).otherwise(0.0).alias("normalized_entropy"),
+        F.first("second").alias("second"),
+        (-F.sum(p * F.log(p + F.lit(1e-12)))).alias("entropy"),
+    )
+    several = F.col("candidates") > 1
+    return entropy.select(
+        *query,
+        "candidates",
+        "top_score",
+        F.when(several, F.col("top_score") - F.col("second")).otherwise(0.0).alias("top_margin"),
+        F.when(several, F.col("entropy") / F.log("candidates")).otherwise(0.0).alias("normalized_entropy"),
     )

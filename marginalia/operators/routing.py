@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import fold, router_tokens, word_count
+from .order import running_sums
 
 # The words whose mention in a question is a feature.
 TABLE_WORDS = ("table", "tabular", "row", "column")
@@ -117,34 +117,26 @@ def routed(p: Column, threshold: float, cheap: Column, strong: Column) -> Column
     return F.when(p >= F.lit(threshold), strong).otherwise(cheap)
 
 
-def threshold_sweep(rows: DataFrame, metrics: dict[str, tuple[str, str]], p: str = "p", group: list[str] | None = None) -> DataFrame:
+def threshold_sweep(rows: DataFrame, metrics: dict[str, tuple[str, str]], p: str = "p") -> DataFrame:
     """For each distinct probability, and infinity (routing nothing): what routing from it on gives.
 
     metrics: name -> (cheap column, strong column). Ties are one threshold. Sums are collapsed
-    to distinct probabilities before the one cumulative window, which replaces scoring all rows
-    anew for every candidate. Probabilities are rounded to nine places first, which bounds the
-    window by 1e9 thresholds whatever the number of rows.
+    to distinct probabilities, to nine places, and accumulated once over range partitions, which
+    replaces scoring all rows anew for every candidate. No row gives no threshold.
     """
-    keys = group or []
-    sums = [F.sum(c).alias(f"{m}_{side}") for m, pair in metrics.items() for side, c in zip(("c", "s"), pair)]
-    per = rows.withColumn("threshold", F.round(p, 9)).groupBy(*keys, "threshold").agg(F.count("*").alias("c"), *sums)
     names = [f"{m}_{side}" for m in metrics for side in ("c", "s")]
-    none = rows.select(*keys).distinct() if keys else rows.limit(1).select(F.lit(1)).select()
-    none = none.select(
-        *keys, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("c"), *[F.lit(0.0).alias(n) for n in names]
-    )
-    total = Window.partitionBy(*keys)
-    upto = Window.partitionBy(*keys).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("c").over(total)
-    return per.unionByName(none).select(
-        *keys,
+    sums = [F.sum(c).alias(n) for n, c in zip(names, (c for pair in metrics.values() for c in pair))]
+    per = rows.withColumn("threshold", F.round(p, 9)).groupBy("threshold").agg(F.count("*").cast("double").alias("c"), *sums)
+    totals = per.agg(*[F.sum(n).alias(f"all_{n}") for n in ("c", *names)])  # one row
+    none = totals.where("all_c > 0").select(F.lit(float("inf")).alias("threshold"), *[F.lit(0.0).alias(n) for n in ("c", *names)])
+    above = running_sums(per.unionByName(none), [-F.col("threshold")], {f"up_{n}": F.col(n) for n in ("c", *names)})
+    routed_ = {n: F.col(f"up_{n}") + F.col(n) for n in ("c", *names)}
+    n = F.col("all_c")
+    return above.crossJoin(F.broadcast(totals)).select(
         "threshold",
-        (F.sum("c").over(upto) / n).alias("route_rate"),
-        *[
-            ((F.sum(f"{m}_s").over(upto) + F.sum(f"{m}_c").over(total) - F.sum(f"{m}_c").over(upto)) / n).alias(m)
-            for m in metrics
-        ],
-        *[(F.sum(f"{m}_s").over(total) / n).alias(f"{m}_always_strong") for m in metrics],
+        (routed_["c"] / n).alias("route_rate"),
+        *[((routed_[f"{m}_s"] + F.col(f"all_{m}_c") - routed_[f"{m}_c"]) / n).alias(m) for m in metrics],
+        *[(F.col(f"all_{m}_s") / n).alias(f"{m}_always_strong") for m in metrics],
     )
 
 
@@ -165,13 +157,42 @@ def auc(rows: DataFrame, p: str, y: str, keys: list[str] | None = None) -> DataF
     """Area under the ROC curve, ties counting half; null where one class is missing."""
     keys = keys or []
     per = rows.groupBy(*keys, F.round(p, 9).alias("v")).agg(F.sum(y).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(upto), F.lit(0.0)))
-    won = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2))
+    ranked = running_sums(per, [*map(F.col, keys), F.col("v")], {"below": F.col("n") - F.col("pos")})
+    # the running count goes on over the groups; what stood before a group is taken off
+    won = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)) - F.sum("pos") * F.min("below")
     out = F.sum("pos") * (F.sum("n") - F.sum("pos"))
     return ranked.groupBy(*keys).agg(F.round(F.when(out > 0, won / out), 9).alias("auc"), F.sum("n").cast("long").alias("rows"))
 
 
+def router_grid(
+    train: DataFrame, calibration: DataFrame, names: list[str], cs: list[float], weights: list[float], gate: tuple[float, float, float]
+) -> list[dict]:
+    """Every combination of penalty and class weight: policy, threshold and what it gives, or infeasible.
+
+    Both tables hold the features, y and the columns mrr_c, mrr_s, recall_at_1_c, recall_at_1_s.
+    The loop runs over the handful of combinations; each fit and sweep is distributed.
+    """
+    found = []
+    for c in cs:
+        for w in weights:
+            policy = fit_router(train, names, "y", c, w)
+            p = policy.probability({n: F.col(n) for n in names})
+            sweep = threshold_sweep(calibration.withColumn("p", p), {m: (f"{m}_c", f"{m}_s") for m in ("mrr", "recall_at_1")})
+            best = best_threshold(sweep, *gate).collect()
+            entry = {"c": c, "positive_weight": w, "policy": policy, "feasible": bool(best)}
+            found.append(entry | ({k: best[0][k] for k in ("threshold", "mrr", "recall_at_1", "route_rate")} if best else {}))
+    return found
+
+
+def best_candidate(grid: list[dict], near: float = 1e-4) -> dict | None:
+    """Among feasible candidates within `near` of the best mrr: most saving, least weight, least c."""
+    feasible = [g for g in grid if g["feasible"]]
+    if not feasible:
+        return None
+    top = max(g["mrr"] for g in feasible)
+    return min((g for g in feasible if g["mrr"] >= top - near), key=lambda g: (g["route_rate"], g["positive_weight"], g["c"]))
+
+
 def capability(cheap: Column, strong: Column) -> Column:
     """Which path suffices, in the words of the labels."""
     return (

@@ -312,35 +312,41 @@ def _ranks(inner: str) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {inner})"
 
 
-def _dense(spark: SparkSession, d: str, length: int | None = None) -> DataFrame:
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and every twentieth as a query."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return retrieval.dense(e, e.where("vec_id % 20 = 0"), 1, length)
+    return e, e.where("vec_id % 20 = 0")
+
+
+def _search(spark: SparkSession, d: str, n: int, length: int | None = None, patch: int | None = None) -> DataFrame:
+    top = retrieval.search(*_vectors(spark, d), n, 1, length, patch)
+    return top.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(f"SELECT query_id, doc_id, round(score, 9) AS score, rank FROM {_ranks(_sims(1, None))} WHERE rank <= 10")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of every twentieth one."""
-    return retrieval.ranked(_dense(spark, d), ["query_id"], n=10).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+    return _search(spark, d, 10)
 
 
 _METHOD_SQL = f"""
     WITH rel AS (SELECT query_id, doc_id FROM {_ranks(_sims(1, None))} WHERE rank <= 5),
-    cheap AS {_ranks(_sims(1, 16))}, strong AS {_ranks(_sims(1, 32))},
+    cheap AS (SELECT * FROM {_ranks(_sims(1, 16))} WHERE rank <= 50), strong AS (SELECT * FROM {_ranks(_sims(1, 32))} WHERE rank <= 50),
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM
       (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM cheap UNION ALL SELECT query_id, doc_id, rank FROM strong) GROUP BY ALL)),
     r AS (SELECT 'cheap' AS method, query_id, doc_id, rank FROM cheap UNION ALL SELECT 'strong', query_id, doc_id, rank FROM strong UNION ALL SELECT 'fused', query_id, doc_id, rank FROM fused),
-    m AS (SELECT method, r.query_id, count(*) AS n, count_if(rank <= 1)::DOUBLE / count(*) AS recall_at_1, count_if(rank <= 5)::DOUBLE / count(*) AS recall_at_5,
-      count_if(rank <= 10)::DOUBLE / count(*) AS recall_at_10, 1.0::DOUBLE / min(rank) AS mrr,
+    m AS (SELECT k.method, rel.query_id, count(*) AS n, count_if(rank <= 1)::DOUBLE / count(*) AS recall_at_1, count_if(rank <= 5)::DOUBLE / count(*) AS recall_at_5,
+      count_if(rank <= 10)::DOUBLE / count(*) AS recall_at_10, coalesce(1.0::DOUBLE / min(rank), 0) AS mrr,
       sum(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / log2(rank + 1.0::DOUBLE) ELSE 0 END) / {sql.ideal('count(*)')} AS ndcg_at_5
-      FROM r JOIN rel ON rel.query_id = r.query_id AND rel.doc_id = r.doc_id GROUP BY method, r.query_id)
+      FROM rel CROSS JOIN (SELECT unnest(['cheap', 'strong', 'fused']) AS method) k LEFT JOIN r ON rel.query_id = r.query_id AND rel.doc_id = r.doc_id AND r.method = k.method GROUP BY k.method, rel.query_id)
 """
 _MEANS = ", ".join(f"round(avg({m}), 9) AS {m}" for m in retrieval.METRICS)
 
 
 def _method_rankings(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Relevant: the five nearest by the whole vector. Rankings by parts of it, and their fusion."""
-    relevant = retrieval.ranked(_dense(spark, d), ["query_id"], n=5).select("query_id", "doc_id")
-    cheap, strong = (retrieval.ranked(_dense(spark, d, n), ["query_id"]) for n in (16, 32))
+    """Relevant: the five nearest by the whole vector. Rankings: the best fifty by parts of it, fused."""
+    relevant = _search(spark, d, 5).select("query_id", "doc_id")
+    cheap, strong = (_search(spark, d, 50, n) for n in (16, 32))
     fused = retrieval.ranked(retrieval.fuse([cheap, strong], ["query_id"]), ["query_id"])
     return relevant, {"cheap": cheap, "strong": strong, "fused": fused}
 
@@ -373,9 +379,7 @@ def _patch_sql() -> str:
 )
 def maxsim_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best by late interaction of four patches."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    top = retrieval.ranked(retrieval.maxsim(e, e.where("vec_id % 20 = 0")), ["query_id"], n=10)
-    return top.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+    return _search(spark, d, 10, patch=16)
 
 
 _STRONG_32 = _sims(1, 32)
@@ -391,7 +395,7 @@ _STRONG_32 = _sims(1, 32)
 )
 def score_signals(spark: SparkSession, d: str) -> DataFrame:
     """Confidence signals of the strong ranking's scores."""
-    s = retrieval.signals(_dense(spark, d, 32), ["query_id"])
+    s = retrieval.signals(retrieval.dense(*_vectors(spark, d), 1, 32), ["query_id"])
     return s.select("query_id", "candidates", *[F.round(c, 9).alias(c) for c in ("top_score", "top_margin", "normalized_entropy")])
 
 

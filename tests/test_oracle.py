@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from marginalia.plans import core_queries
+from marginalia.plans import core_queries, more_queries  # noqa: F401
 
 
 def plain(v):

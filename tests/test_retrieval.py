@@ -116,3 +116,26 @@ def test_running_sums(spark):
         assert got[i] == total
         total += v
     assert order.running_before(spark.createDataFrame([], "i int"), [F.col("i")]).count() == 0
+
+
+def test_search_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = np.round(rng.normal(size=(70, 8)), 1).astype("float32")
+    m[5] = m[6]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, None)], "vec_id long, embedding array<float>")
+    for rows in (1000, 16):
+        for length, patch in ((None, None), (4, None), (None, 4)):
+            got = {}
+            for r in retrieval.search(df, df.where("vec_id % 20 = 0"), 3, 1, length, patch, rows).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.doc_id)
+            a = m.astype(float)[:, :length]
+            for q in (0, 20, 40, 60):
+                if patch:
+                    s = sum(np.max([a[:, y : y + 4] @ a[q, x : x + 4] for y in (0, 4)], axis=0) for x in (0, 4))
+                else:
+                    s = a @ a[q]
+                order_ = sorted((i for i in range(70) if i != q), key=lambda i: (-round(s[i], 9), i))
+                assert got[q] == order_[:3]
+    assert retrieval.search(df.limit(0), df.limit(0), 3).count() == 0
