@@ -74,13 +74,18 @@ def reading(ch: str) -> str:
     return ch
 
 
+def respelled(text: str) -> str:
+    """A text spelled by the look-alike table, accents joined."""
+    if text.isascii() and text.isprintable():
+        return text
+    apart = unicodedata.normalize("NFD", text)
+    return unicodedata.normalize("NFC", "".join(map(reading, apart)))
+
+
 @lru_cache(maxsize=200_000)
 def by_table(token: str) -> str:
-    """The token spelled by the look-alike table, accents joined."""
-    if token.isascii() and token.isprintable():
-        return token
-    apart = unicodedata.normalize("NFD", token)
-    return unicodedata.normalize("NFC", "".join(map(reading, apart)))
+    """respelled for single tokens, which come again."""
+    return respelled(token)
 
 
 class Trie:

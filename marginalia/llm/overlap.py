@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import paper_key
 from ..session import cut_lineage, spread
-from .lookalike import by_table
+from .lookalike import by_table, respelled
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 HELD_OUT = ("validation", "test")
@@ -42,7 +42,7 @@ def words(text: str | None) -> list[str]:
     """Words that remain when case, punctuation, blanks and look-alikes make no difference."""
     if not text:
         return []
-    return [by_table(w) for w in WORD.findall(by_table(text).casefold())]
+    return [by_table(w) for w in WORD.findall(respelled(text).casefold())]
 
 
 def _hash(text: str, seed: int) -> int:

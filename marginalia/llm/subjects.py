@@ -27,6 +27,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import regex
@@ -37,7 +39,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import paper_key
 from ..session import cut_lineage
-from .lookalike import by_table
+from .lookalike import respelled
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BREAK = regex.compile(r"(?<=\p{L})-\r?\n(?=\p{L})")
@@ -61,14 +63,29 @@ def stem(word: str) -> str:
     return word
 
 
-def unit_terms(unit: str) -> set[int]:
-    """Hashes of the words and word pairs of a unit."""
-    words = [stem(w) for w in WORD.findall(by_table(unit).casefold())]
-    return {_hash(w) for w in words} | {_hash(f"{a} {b}") for a, b in zip(words, words[1:])}
+@lru_cache(maxsize=100_000)
+def _word(word: str) -> int:
+    """Hash of a folded word without its plural ending."""
+    return xxhash.xxh64_intdigest(stem(word))
+
+
+_PAIR, _SIDE, _SIGN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(1 << 63)
 
 
-def _hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term) - (1 << 63)
+def text_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, term) of a text: hashes of its words and of the word pairs inside a unit."""
+    found, ends = [], []
+    for unit in text_units(text):
+        found += map(_word, WORD.findall(respelled(unit).casefold()))
+        ends.append(len(found))
+    words = np.array(found, dtype=np.uint64)
+    unit = np.repeat(np.arange(len(ends)), np.diff(np.array(ends, dtype=np.int64), prepend=0))
+    if len(words) < 2:
+        return unit, (words ^ _SIGN).view(np.int64)
+    with np.errstate(over="ignore"):
+        pairs = words[:-1] * _PAIR + (words[1:] ^ _SIDE)
+    inside = unit[:-1] == unit[1:]
+    return np.concatenate([unit, unit[:-1][inside]]), (np.concatenate([words, pairs[inside]]) ^ _SIGN).view(np.int64)
 
 
 def subject_key(c: Column | str) -> Column:
@@ -94,30 +111,19 @@ def learn(documents: DataFrame, known: DataFrame, n: int, strength: float, least
     schema = "term long, n double, papers long, " + ", ".join(f"{c} double" for c in columns)
 
     def run(batches):
-        sums: dict[int, list] = {}
-
-        def flush():
-            rows = [(t, v[0], v[1] - (1 << 64) if v[1] >= 1 << 63 else v[1], *(v[2].get(i, 0.0) for i in range(n))) for t, v in sums.items()]
-            return pd.DataFrame(rows, columns=["term", "n", "papers", *columns])
-
         for batch in batches:
             shares = batch[columns].to_numpy()
-            for d, text, paper, share in zip(batch["doc_id"], batch["text"], batch["paper"], shares):
-                bit = 1 << (xxhash.xxh64_intdigest(paper if isinstance(paper, str) else f"document {d}") & 63)
-                own = [(i, float(share[i])) for i in np.flatnonzero(share)]
-                for t in set().union(*map(unit_terms, text_units(text))):
-                    v = sums.get(t)
-                    if v is None:
-                        v = sums[t] = [0.0, 0, {}]
-                    v[0] += 1
-                    v[1] |= bit
-                    for i, x in own:
-                        v[2][i] = v[2].get(i, 0.0) + x
-            if len(sums) > 150_000:
-                yield flush()
-                sums.clear()
-        if sums:
-            yield flush()
+            papers = [p if isinstance(p, str) else f"document {d}" for d, p in zip(batch["doc_id"], batch["paper"])]
+            bits = np.uint64(1) << np.array([xxhash.xxh64_intdigest(p) & 63 for p in papers], dtype=np.uint64)
+            terms = [np.unique(text_terms(t)[1]) for t in batch["text"]]
+            at = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+            if not len(at):
+                continue
+            distinct, place = np.unique(np.concatenate(terms), return_inverse=True)
+            seen = np.zeros(len(distinct), dtype=np.uint64)
+            np.bitwise_or.at(seen, place, bits[at])
+            sums = {c: np.bincount(place, shares[at, i], len(distinct)) for i, c in enumerate(columns)}
+            yield pd.DataFrame({"term": distinct, "n": np.bincount(place, minlength=len(distinct)).astype(float), "papers": seen.view(np.int64), **sums})
 
     base = known.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in columns]).first()
     counted = (
@@ -147,16 +153,16 @@ def support(documents: DataFrame, terms: DataFrame, trusted: DataFrame, n: int,
         for batch in batches:
             d_, u_, t_ = [], [], []
             for d, text in zip(batch["doc_id"], batch["text"]):
-                for u, unit in enumerate(text_units(text)):
-                    found = np.fromiter(unit_terms(unit), dtype=np.int64)
-                    if known is not None:
-                        at = np.searchsorted(known, found)
-                        at[at == len(known)] = 0
-                        found = found[known[at] == found] if len(known) else found[:0]
-                    d_ += [d] * len(found)
-                    u_ += [u] * len(found)
-                    t_.append(found)
-            yield pd.DataFrame({"doc_id": d_, "unit": u_, "term": np.concatenate(t_) if t_ else np.empty(0, np.int64)})
+                unit, found = text_terms(text)
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+                    hit = known[at] == found if len(known) else np.zeros(len(found), dtype=bool)
+                    unit, found = unit[hit], found[hit]
+                d_.append(np.full(len(found), d))
+                u_.append(unit)
+                t_.append(found)
+            if d_:
+                yield pd.DataFrame({"doc_id": np.concatenate(d_), "unit": np.concatenate(u_).astype("int32"), "term": np.concatenate(t_)})
 
     hits = documents.select("doc_id", "text").mapInPandas(run, "doc_id long, unit int, term long")
     each = F.array(*[F.struct(F.lit(i).alias("subject_at"), F.col(c).alias("share")) for i, c in enumerate(columns)])

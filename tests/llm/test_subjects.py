@@ -53,8 +53,11 @@ def test_held_out_accuracy(spark):
 def test_units():
     text = "One is here. Two is there! [3] A line\nitem | a | b\nunder var-\nying load"
     assert len(subjects.text_units(text)) == 5
-    assert subjects.unit_terms("Kernеls") == subjects.unit_terms("kernel")
-    assert subjects.text_units("") == [] and subjects.unit_terms("12 3") == set()
+    terms = lambda t: [x.tolist() for x in subjects.text_terms(t)]
+    assert terms("Kernеls") == terms("kernel") and terms("12 3") == terms("") == [[], []]
+    unit, term = terms("one two. one")
+    assert unit == [0, 0, 1, 0] and term[0] == term[2] != term[3]
+    assert subjects.text_units("") == []
 
 
 def test_edges(spark):
