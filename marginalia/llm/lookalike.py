@@ -197,7 +197,7 @@ def spellings(tokens: DataFrame, budget: float = 0.0, trie_words: int = 50_000)
         if asked:
             yield flush()
 
-    unusual = tokens.where(F.col("token").rlike(UNUSUAL)).withColumn("reads", read_as("token"))
+    unusual = cut_lineage(tokens.where(F.col("token").rlike(UNUSUAL)).withColumn("reads", read_as("token")))
     usual = tokens.where(~F.col("token").rlike(UNUSUAL)).withColumn("reads", F.col("token"))
     # words that no unusual token reads as cannot be reached
     reachable = usual.join(unusual.select("reads").distinct(), "reads", "left_semi")
@@ -218,8 +218,9 @@ def canonical_forms(df: DataFrame, keys: list[str], text: str, vocabulary: DataF
     """
     rows = df.select(*keys, F.col(text).alias("text"))
     if vocabulary is None:
-        vocabulary = token_counts(rows, "text")
-    plain = F.array_join(tokens_of(F.col("text")), " ")
+        vocabulary = cut_lineage(token_counts(rows, "text"))  # read several times below
+    loose = F.col("text").rlike("^ | $|  ")
+    plain = F.when(loose, F.array_join(tokens_of(F.col("text")), " ")).otherwise(F.col("text"))
     odd = F.coalesce(F.col("text").rlike(UNUSUAL), F.lit(False))
     odd_rows = rows.where(odd).withColumn("tid", F.sha2("text", 256))
     odd_texts = odd_rows.groupBy("tid").agg(F.first("text").alias("whole"))
