@@ -5,6 +5,7 @@ Null in, null out, unless stated; empty texts give empty lists or ''.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -74,14 +75,18 @@ def paper_id_form(c: Column | str) -> Column:
 
 
 def real_id(c: Column | str) -> Column:
-    """An id in lower case without outer blanks; null for a placeholder."""
-    plain = F.lower(strip(c))
-    return F.when(~plain.isin(*PLACEHOLDERS), plain)
+    """An id in lower case without outer blanks; null for a placeholder.
+
+    Written as one match, so that the id is computed once and not once for each branch.
+    """
+    listed = "|".join(re.escape(p) for p in PLACEHOLDERS if p)
+    found = F.regexp_extract_all(F.lower(strip(c)), F.lit(rf"(?s)^(?!(?:{listed})$).+$"), F.lit(0))
+    return F.try_element_at(found, F.lit(1))
 
 
 def paper_key(c: Column | str) -> Column:
     """A paper id as it is compared: real_id, then without file ending and version."""
-    return real_id(strip(paper_id_form(real_id(c))))
+    return real_id(paper_id_form(real_id(c)))
 
 
 def token_coverage(reference: Column, candidate: Column) -> Column:
