@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import evidence_form, token_coverage, tokens
+from ..functions.text import evidence_form, tokens
 from .order import top_per
 
 #: Fixed value: the marker that stands for a figure or table among evidence strings.
@@ -121,14 +121,26 @@ def map_to_pages(
     page with the best token coverage if it is high and clear enough: approximate; else
     ambiguous or unmapped. Paragraphs of documents without pages are unmapped.
     """
-    p = paragraphs.where(F.col("form") != "").select("document", "paragraph_id", "form")
+    p = paragraphs.where(F.col("form") != "").select("document", "paragraph_id", "form", tokens("form").alias("t"))
     g = pages.select("document", "page", F.coalesce("form", F.lit("")).alias("page_form"))
-    pairs = p.join(g, "document", "left").withColumn("page_form", F.coalesce("page_form", F.lit(""))).select(
-        "document",
-        "paragraph_id",
-        "page",
-        F.coalesce(F.contains("page_form", F.col("form")), F.lit(False)).alias("inside"),
-        F.coalesce(token_coverage(tokens("form"), tokens("page_form")), F.lit(0.0)).alias("coverage"),
+
+    def counts(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select("document", *keys, F.explode("t").alias("token")).groupBy("document", *keys, "token").agg(F.count("*").alias("n"))
+
+    # multisets of tokens meet on their tokens, so that a paragraph and a page are compared by what they share
+    asked = counts(p, "paragraph_id")
+    held = counts(g.select("document", "page", tokens("page_form").alias("t")), "page").withColumnRenamed("n", "m")
+    shared = (
+        asked.join(held, ["document", "token"])
+        .groupBy("document", "paragraph_id", "page")
+        .agg(F.sum(F.least("n", "m")).alias("shared"))
+    )
+    pairs = (
+        p.select("document", "paragraph_id", "form", F.size("t").alias("total"))
+        .join(g, "document", "left")
+        .select("document", "paragraph_id", "page", "total", F.coalesce(F.contains("page_form", "form"), F.lit(False)).alias("inside"))
+        .join(shared, ["document", "paragraph_id", "page"], "left")
+        .withColumn("coverage", F.when(F.col("total") > 0, F.coalesce("shared", F.lit(0)) / F.col("total")).otherwise(0.0))
     )
     keys = ["document", "paragraph_id"]
     order = Window.partitionBy(*keys).orderBy(F.round("coverage", 9).desc(), F.col("page"))

@@ -41,9 +41,9 @@ def bm25(
     asked = queries.select("corpus_id", "query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     wanted = asked.select("corpus_id", "term").distinct()
     tf = (
-        d.select("corpus_id", "doc_id", F.explode("t").alias("term"))
+        d.select("corpus_id", "doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
         .join(wanted, ["corpus_id", "term"], "left_semi")
-        .groupBy("corpus_id", "term", "doc_id")
+        .groupBy("corpus_id", "term", "doc_id", "dl")
         .agg(F.count("*").alias("tf"))
     )
     df = tf.groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
@@ -53,7 +53,6 @@ def bm25(
     idf = F.log(1 + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weights = (
         tf.join(df, ["corpus_id", "term"])
-        .join(lengths, ["corpus_id", "doc_id"])
         .join(corpora, "corpus_id")
         .select("corpus_id", "term", "doc_id", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
     )
