@@ -1,17 +1,17 @@
 """Records of evaluation splits that also occur, exactly or nearly, among train records.
 
-Records are normalised to words, distinct records are cut into content-defined chunks (a
-chunk ends after a word whose rolling hash says so, hence edits move no cuts but their own),
-chunk digests are joined across splits and the lengths of the shared chunks are summed into
-the fraction of the longer record that two records have in common. Pairs over a fraction are
-then compared exactly, by the longest common subsequence of their words.
-
-What is joined. Two records can share at least the fraction `shared` of the longer one only
-if the rarest of their common chunks lies among the rarest chunks that make up more than
-(1 - shared) of each record, so only those are joined, whatever their frequency: no chunk is
-dropped or capped. In the question the same rule is used on single words and the exact
-bound. A join key is a chunk of the caption together with a word of the question, so a chunk
-that a third of all captions use meets only records whose questions share a rare word, too.
+Records are normalised to words, and pairs that can be alike are compared exactly, by the
+longest common subsequence of their words. Distinct captions are also cut into content-defined
+chunks (a chunk ends after a word whose rolling hash says so, hence edits move no cuts but
+their own); the lengths of the shared chunks are summed into the fraction of the longer
+caption that two records have in common. The fraction is reported and decides nothing.
+
+What is joined. Two texts can share at least the fraction `least` of the words of the longer
+one only if the rarest of their common words lies among the rarest words that make up more
+than (1 - least) of each, so only those are joined, whatever their frequency: no word is
+dropped or capped, and every true pair meets. A join key is such a word of the caption
+together with such a word of the question, so a word that a third of all captions use meets
+only records whose questions share a rare word, too.
 
 Defined results
   * case, punctuation, blanks and look-alike characters make no difference;
@@ -77,6 +77,11 @@ def numbered(items: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def word_digests(ws: list[str]) -> list[int]:
+    """Digests of words as a multiset."""
+    return [d for d, _ in numbered([(_hash(w, 3) - (1 << 63), 1) for w in ws])]
+
+
 def common_words(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, by bit vectors."""
     if not a or not b:
@@ -100,7 +105,7 @@ def alike(a: list[str], b: list[str], least: float) -> bool:
 
 SIGNED = (
     "row long, side string, text_id string, question string, caption string, n_question int, n_caption int, "
-    "q array<long>, c array<struct<digest:long,n:int>>"
+    "q array<long>, w array<long>, c array<struct<digest:long,n:int>>"
 )
 
 
@@ -124,7 +129,8 @@ def signed_records(df: DataFrame, record: str, split: str, question: str, captio
                         ct,
                         len(qw),
                         len(cw),
-                        [d for d, _ in numbered([(_hash(w, 3) - (1 << 63), 1) for w in qw])],
+                        word_digests(qw),
+                        word_digests(cw),
                         [{"digest": d, "n": n} for d, n in numbered(chunks(cw, mean))],
                     )
                 )
@@ -142,15 +148,15 @@ def signed_records(df: DataFrame, record: str, split: str, question: str, captio
     )
 
 
-def _rarest(items: DataFrame, share_left_out: float) -> DataFrame:
-    """items(tid, digest, n, total, ...) cut to the rarest that exceed (1 - share) of total."""
+def _rarest(items: DataFrame, least: float) -> DataFrame:
+    """items(tid, digest, total, ...) cut to the rarest that exceed (1 - least) of total."""
     counts = items.groupBy("digest").agg(F.count("*").alias("texts"))
-    w = Window.partitionBy("tid").orderBy("texts", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("tid").orderBy("texts", "digest")
     return (
         items.join(counts, "digest")
-        .withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-        .where(F.col("before") <= F.col("total") * (1 - share_left_out) + 1e-9)
-        .drop("n", "total", "texts", "before")
+        .withColumn("before", F.row_number().over(w) - 1)
+        .where(F.col("before") <= F.col("total") * (1 - least) + 1e-9)
+        .drop("total", "texts", "before")
     )
 
 
@@ -159,19 +165,19 @@ def _fits(a: Column | str, b: Column | str, least: float) -> Column:
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
 
-def overlaps(texts: DataFrame, shared: float = 0.25, least: float = 0.8) -> DataFrame:
+def overlaps(texts: DataFrame, least: float = 0.8) -> DataFrame:
     """(tid_a, tid_b, fraction) of distinct train and held-out texts.
 
     texts: distinct signed texts with a number tid and flags in_train and in_held_out.
     fraction is the summed length of the shared caption chunks over the longer caption. Pairs
     are thinned by what is small before anything larger is fetched: lengths travel with the
-    keys, then question words are compared, then chunks, then whole texts.
+    keys, then question words are compared, then caption words, then whole texts.
     """
-    c = texts.select("tid", F.col("n_caption").alias("total"), F.inline("c"))
     slim = ("in_train", "in_held_out", "n_caption", "n_question")
-    q = texts.select("tid", *slim, F.col("n_question").alias("total"), F.explode("q").alias("digest"), F.lit(1).alias("n"))
+    c = texts.select("tid", F.col("n_caption").alias("total"), F.explode("w").alias("digest"))
+    q = texts.select("tid", *slim, F.col("n_question").alias("total"), F.explode("q").alias("digest"))
     sides = cut_lineage(
-        _rarest(c, shared)
+        _rarest(c, least)
         .withColumnRenamed("digest", "c")
         .join(_rarest(q, least).withColumnRenamed("digest", "q"), "tid")
         .select(F.xxhash64("c", "q").alias("key"), "tid", *slim)
@@ -195,18 +201,10 @@ def overlaps(texts: DataFrame, shared: float = 0.25, least: float = 0.8) -> Data
             pairs = pairs.join(body, f"tid_{name}")
         return pairs
 
-    words_shared = F.size(F.array_intersect("a.q", "b.q"))  # never below the common subsequence
-    asked_alike = fetch(met, "q").where(words_shared >= least * F.greatest(F.size("a.q"), F.size("b.q")) - 1e-9)
-    both = F.aggregate(
-        F.filter("a.c", lambda x: F.array_contains(F.col("b.c.digest"), x["digest"])),
-        F.lit(0),
-        lambda s, x: s + x["n"],
-    )
-    chunked = (
-        fetch(asked_alike.select("tid_a", "tid_b"), "c", "n_caption")
-        .select("tid_a", "tid_b", (both / F.greatest("a.n_caption", "b.n_caption")).alias("fraction"))
-        .where(F.col("fraction") >= shared)
-    )
+    def thinned(pairs: DataFrame, words: str) -> DataFrame:
+        shared = F.size(F.array_intersect(f"a.{words}", f"b.{words}"))  # never below the common subsequence
+        longer = F.greatest(F.size(f"a.{words}"), F.size(f"b.{words}"))
+        return fetch(pairs, words).where(shared >= least * longer - 1e-9).select("tid_a", "tid_b")
 
     @F.pandas_udf("boolean")
     def near(qa: pd.Series, ca: pd.Series, qb: pd.Series, cb: pd.Series) -> pd.Series:
@@ -218,10 +216,15 @@ def overlaps(texts: DataFrame, shared: float = 0.25, least: float = 0.8) -> Data
             dtype=bool,
         )
 
+    both = F.aggregate(
+        F.filter("a.c", lambda x: F.array_contains(F.col("b.c.digest"), x["digest"])),
+        F.lit(0),
+        lambda s, x: s + x["n"],
+    )
     return (
-        fetch(chunked, "question", "caption")
+        fetch(thinned(thinned(met, "q"), "w"), "question", "caption", "c", "n_caption")
         .where(near("a.question", "a.caption", "b.question", "b.caption"))
-        .select("tid_a", "tid_b", "fraction")
+        .select("tid_a", "tid_b", (both / F.greatest("a.n_caption", "b.n_caption")).alias("fraction"))
     )
 
 
@@ -232,7 +235,6 @@ def cross_split_pairs(
     question: str = "question",
     caption: str = "caption",
     mean: int = 4,
-    shared: float = 0.25,
     least: float = 0.8,
 ) -> DataFrame:
     """(id_a, id_b, fraction): one train and one held-out row each, the smaller id first."""
@@ -243,7 +245,7 @@ def cross_split_pairs(
         .agg(
             F.max(F.col("side") == "train").alias("in_train"),
             F.max(F.col("side") != "train").alias("in_held_out"),
-            *[F.first(x).alias(x) for x in ("question", "caption", "n_question", "n_caption", "q", "c")],
+            *[F.first(x).alias(x) for x in ("question", "caption", "n_question", "n_caption", "q", "w", "c")],
         )
         .withColumn("tid", F.monotonically_increasing_id())  # fixed by the checkpoint
     )
@@ -252,7 +254,7 @@ def cross_split_pairs(
         F.col("text_id").alias("id_a"), F.col("text_id").alias("id_b"), F.lit(1.0).alias("fraction")
     )
     near = (
-        overlaps(texts, shared, least)
+        overlaps(texts, least)
         .join(named.select(F.col("tid").alias("tid_a"), F.col("text_id").alias("id_a")), "tid_a")
         .join(named.select(F.col("tid").alias("tid_b"), F.col("text_id").alias("id_b")), "tid_b")
         .select("id_a", "id_b", "fraction")

@@ -63,6 +63,19 @@ def test_equals_brute_force(spark):
     assert got == brute(data) and len(got) > 10
 
 
+def test_edits_all_over_the_caption(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(400)]
+    data = []
+    for g in range(30):
+        q, c = [rng.choice(vocab) for _ in range(10)], [rng.choice(vocab) for _ in range(60)]
+        edited = [f"new{i}" if i % 5 == 2 else w for i, w in enumerate(c)]
+        asked = [f"new{i}" if i in (3, 7) else w for i, w in enumerate(q)]
+        data += [(2 * g, "train", " ".join(q), " ".join(c), 1, "x"), (2 * g + 1, "test", " ".join(asked), " ".join(edited), 1, "x")]
+    got = {(r.id_a, r.id_b) for r in overlap.cross_split_pairs(rows(spark, data)).collect()}
+    assert got == brute(data) == {(2 * g, 2 * g + 1) for g in range(30)}
+
+
 def test_hot_copies_and_look_alikes(spark):
     text = ("Which is it now in the left panel?", "Figure 1: one two three four five six seven eight nine ten")
     data = [(i, "train" if i % 2 else "test", *text, 1, "x") for i in range(60)]
