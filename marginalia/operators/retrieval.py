@@ -98,23 +98,23 @@ def _blocks(vectors: DataFrame, queries: DataFrame, rows: int) -> tuple[DataFram
     return v, q
 
 
-def search(vectors: DataFrame, queries: DataFrame, n: int, start: int = 1, length: int | None = None, patch: int | None = None, rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, n: int | None, start: int = 1, length: int | None = None, patch: int | None = None, rows: int = 8192) -> DataFrame:
     """(query_id, doc_id, score, rank): the n best vectors for each query, itself left out, exact.
 
     Blocks of vectors meet blocks of queries in one matrix product each and only each block's
-    n best go on, so no pair of a query and a vector leaves a task. start and length take a
-    part of the vectors. patch: width of patches for late interaction, each query patch taking
+    n best go on, so no pair of a query and a vector leaves a task. With n None the whole
+    rankings come out, from smaller blocks. start and length take a part of the vectors. patch: width of patches for late interaction, each query patch taking
     its best document patch. Rows without a vector are left out.
     """
     v, q = (x.where(F.col("embedding").isNotNull()).select("vec_id", "embedding") for x in (vectors, queries))
-    v, q = _blocks(v, q, rows)
+    v, q = _blocks(v, q, rows if n is not None else min(rows, 1024))
     stop = None if length is None else start - 1 + length
 
     def matrix(vectors: pd.Series) -> np.ndarray:
         return np.array([np.asarray(e, dtype=np.float64)[start - 1 : stop] for e in vectors])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "doc_id": [], "score": []}
+        out, whole = {"query_id": [], "doc_id": [], "score": []}, []
         if len(left) and len(right):
             ids, asked = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
             a, b = matrix(left["embedding"]), matrix(right["asked"])
@@ -129,6 +129,10 @@ def search(vectors: DataFrame, queries: DataFrame, n: int, start: int = 1, lengt
                 else:
                     scores = part @ a.T
                 scores = np.round(scores, 9)
+                if n is None:
+                    of, at_doc = np.nonzero(asked[at : at + 256, None] != ids[None, :])
+                    whole.append(pd.DataFrame({"query_id": asked[at : at + 256][of], "doc_id": ids[at_doc], "score": scores[of, at_doc]}))
+                    continue
                 for row, one in zip(scores, asked[at : at + 256]):
                     row = np.where(ids == one, -np.inf, row)
                     m = min(n, int((row > -np.inf).sum()))
@@ -140,14 +144,37 @@ def search(vectors: DataFrame, queries: DataFrame, n: int, start: int = 1, lengt
                     out["query_id"] += [one] * m
                     out["doc_id"] += ids[best].tolist()
                     out["score"] += row[best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
+        return (pd.concat(whole) if whole else pd.DataFrame(out)).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
 
     found = v.groupBy("i", "j").cogroup(q.groupBy("qi", "qj")).applyInPandas(run, "query_id long, doc_id long, score double")
     return ranked(found, ["query_id"], n=n)
 
 
-def fuse(rankings: list[DataFrame], query: list[str], k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of (query, doc_id, rank); a document missing in one adds nothing there."""
+def with_tail(ranking: DataFrame, candidates: DataFrame, query: list[str]) -> DataFrame:
+    """ranking(query, doc_id, rank) with the candidates it misses behind it, in the order of their ids."""
+    listed = ranking.select(*query, "doc_id", F.col("rank").cast("long").alias("rank"))
+    length = listed.groupBy(*query).agg(F.max("rank").alias("listed"))
+    place = F.row_number().over(Window.partitionBy(*query).orderBy("doc_id"))
+    rest = (
+        candidates.select(*query, "doc_id")
+        .distinct()
+        .join(listed, [*query, "doc_id"], "left_anti")
+        .join(length, query, "left")
+        .select(*query, "doc_id", (F.coalesce("listed", F.lit(0)) + place).cast("long").alias("rank"))
+    )
+    return listed.unionByName(rest)
+
+
+def fuse(rankings: list[DataFrame], query: list[str], k: int = 60, tail: str = "none", candidates: DataFrame | None = None) -> DataFrame:
+    """Reciprocal rank fusion of (query, doc_id, rank).
+
+    tail 'none': a document missing in a ranking adds nothing there. 'index': the documents of
+    candidates(query, doc_id) that a ranking misses follow it in the order of their ids.
+    """
+    if tail not in ("none", "index") or (tail == "index") != (candidates is not None):
+        raise ValueError("tail is 'none', or 'index' with candidates")
+    if tail == "index":
+        rankings = [with_tail(r, candidates, query) for r in rankings]
     union = rankings[0].select(*query, "doc_id", "rank")
     for r in rankings[1:]:
         union = union.unionByName(r.select(*query, "doc_id", "rank"))

@@ -139,3 +139,48 @@ def test_search_equals_brute_force(spark):
                 order_ = sorted((i for i in range(70) if i != q), key=lambda i: (-round(s[i], 9), i))
                 assert got[q] == order_[:3]
     assert retrieval.search(df.limit(0), df.limit(0), 3).count() == 0
+
+
+def test_whole_rankings_are_fused(spark, tmp_path):
+    import numpy as np
+
+    from marginalia.plans import core_queries
+
+    rng = random.Random(5)
+    vectors = {i: [rng.gauss(0, 1 + 2 * (j >= 16) + 3 * (j >= 32)) for j in range(64)] for i in range(600)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def order_of(q, n):
+        s = {i: round(float(np.dot(vectors[q][:n], v[:n])), 9) for i, v in vectors.items() if i != q}
+        return sorted(s, key=lambda i: (-s[i], i))
+
+    queries, best, mrr = range(0, 600, 20), {}, {"cheap": [], "strong": [], "fused": []}
+    for q in queries:
+        orders = {"cheap": order_of(q, 16), "strong": order_of(q, 32)}
+        score = Counter()
+        for o in orders.values():
+            for rank, i in enumerate(o, 1):
+                score[i] += 1 / (60 + rank)
+        orders["fused"] = sorted(score, key=lambda i: (-round(score[i], 9), i))
+        best[q] = orders["fused"][:10]
+        relevant = order_of(q, 64)[:5]
+        for name, o in orders.items():
+            mrr[name].append(1 / min(o.index(i) + 1 for i in relevant))
+    got = {}
+    for r in core_queries.rrf_hybrid(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == best
+    for r in core_queries.dense_metrics(spark, str(tmp_path)).collect():
+        assert r.queries == len(queries) and abs(r.mrr - sum(mrr[r.method]) / len(queries)) < 1e-8
+
+
+def test_fusion_with_index_tail(spark):
+    lists = [[3, 1], [0, 3]]
+    both = [spark.createDataFrame([("a", i, r) for r, i in enumerate(x, 1)], "query_id string, doc_id int, rank int") for x in lists]
+    every = spark.createDataFrame([("a", i) for i in range(5)], "query_id string, doc_id int")
+    want = Counter()
+    for x in lists:
+        for rank, i in enumerate(x + [i for i in range(5) if i not in x], 1):
+            want[i] += 1 / (60 + rank)
+    got = {r.doc_id: r.score for r in retrieval.fuse(both, ["query_id"], tail="index", candidates=every).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
