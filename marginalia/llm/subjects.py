@@ -105,32 +105,34 @@ def learn(documents: DataFrame, known: DataFrame, n: int, strength: float, least
     """(term, s0, ...): each term's share of each subject, for terms that reach `vague` in one.
 
     documents(doc_id, text, paper), known(doc_id, s0, ...). Tasks sum up what they see before
-    the shuffle; papers are counted as bits of a 64-bit word.
+    the shuffle, with up to least_papers distinct papers of each term as 64-bit hashes.
     """
     columns = [f"s{i}" for i in range(n)]
-    schema = "term long, n double, papers long, " + ", ".join(f"{c} double" for c in columns)
+    schema = "term long, n double, papers array<long>, " + ", ".join(f"{c} double" for c in columns)
 
     def run(batches):
         for batch in batches:
             shares = batch[columns].to_numpy()
             papers = [p if isinstance(p, str) else f"document {d}" for d, p in zip(batch["doc_id"], batch["paper"])]
-            bits = np.uint64(1) << np.array([xxhash.xxh64_intdigest(p) & 63 for p in papers], dtype=np.uint64)
+            hashes, paper = np.unique(np.array([xxhash.xxh64_intdigest(p) for p in papers], dtype=np.uint64).view(np.int64), return_inverse=True)
             terms = [np.unique(text_terms(t)[1]) for t in batch["text"]]
             at = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
             if not len(at):
                 continue
             distinct, place = np.unique(np.concatenate(terms), return_inverse=True)
-            seen = np.zeros(len(distinct), dtype=np.uint64)
-            np.bitwise_or.at(seen, place, bits[at])
+            held = np.unique(place * len(hashes) + paper[at])  # term and paper, each pair once
+            of = held // len(hashes)
+            few = np.arange(len(of)) - np.searchsorted(of, of) < least_papers
+            seen = np.split(hashes[held[few] % len(hashes)], np.flatnonzero(np.diff(of[few])) + 1)
             sums = {c: np.bincount(place, shares[at, i], len(distinct)) for i, c in enumerate(columns)}
-            yield pd.DataFrame({"term": distinct, "n": np.bincount(place, minlength=len(distinct)).astype(float), "papers": seen.view(np.int64), **sums})
+            yield pd.DataFrame({"term": distinct, "n": np.bincount(place, minlength=len(distinct)).astype(float), "papers": seen, **sums})
 
     base = known.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in columns]).first()
     counted = (
         documents.join(known, "doc_id")
         .mapInPandas(run, schema)
         .groupBy("term")
-        .agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("papers")).alias("papers"), *[F.sum(c).alias(c) for c in columns])
+        .agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("papers")))).alias("papers"), *[F.sum(c).alias(c) for c in columns])
         .where((F.col("n") >= least_documents) & (F.col("papers") >= least_papers))
     )
     shares = counted.select(

@@ -75,3 +75,14 @@ def test_shares(spark):
     found = spark.createDataFrame([(1, "sport"), (1, "law"), (2, "law")], "doc_id long, subject string")
     got = {r.subject: (r.documents, round(r.share, 6)) for r in subjects.subject_shares(d, found, NAMES).collect()}
     assert got == {"sport": (1, 0.166667), "law": (2, 0.5), "machine_learning": (0, 0.0), "none": (1, 0.333333)}
+
+
+def test_papers_are_counted_exactly(spark):
+    at = {}
+    for i in range(500):  # papers whose hashes share their low six bits
+        at.setdefault(subjects.xxhash.xxh64_intdigest(f"{6000 + i}.1") & 63, []).append(f"{6000 + i}.1")
+    three = max(at.values(), key=len)[:3]
+    docs = spark.createDataFrame([(i, "The zymurgy was measured.", p) for i, p in enumerate(three)], "doc_id long, text string, paper string")
+    known = spark.createDataFrame([(i, 1.0) for i in range(3)], "doc_id long, s0 double")
+    assert subjects.learn(docs, known, 1, 1.0, 3, 3, 0.3).count() > 0
+    assert subjects.learn(docs.withColumn("paper", subjects.F.lit(three[0])), known, 1, 1.0, 3, 2, 0.3).count() == 0
