@@ -1061,10 +1061,11 @@ def page_offset_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 def _table_cells(spark: SparkSession, d: str, route: str, name: str) -> DataFrame:
     """Cells of every table of a route: one slot each, boxes by even division of the table's grid."""
-    grid = _routed_blocks(spark, d).where((F.col("type") == "table") & (F.col("route") == route)).select(
-        "document_id", "page_pos", "block_pos", F.expr("try_cast(metadata['row_count'] AS INT)").alias("r"), F.expr("try_cast(metadata['column_count'] AS INT)").alias("c")
-    ).where("r > 0 and c > 0 and r <= 500 and c <= 500")
     w = Window.partitionBy("document_id", "page_pos").orderBy("block_pos")
+    grid = _routed_blocks(spark, d).where((F.col("type") == "table") & (F.col("route") == route)).select(
+        "document_id", "page_pos", (F.row_number().over(w) - 1).alias("table_index"),
+        F.expr("try_cast(metadata['row_count'] AS INT)").alias("r"), F.expr("try_cast(metadata['column_count'] AS INT)").alias("c"),
+    )
 
     def box(i: Column, j: Column) -> Column:
         r, c = F.col("r"), F.col("c")
@@ -1079,7 +1080,8 @@ def _table_cells(spark: SparkSession, d: str, route: str, name: str) -> DataFram
             ),
         )
     )
-    return grid.select("document_id", "page_pos", (F.row_number().over(w) - 1).alias("table_index"), cells.alias(name))
+    cells = F.when((F.col("r") > 0) & (F.col("c") > 0), cells)  # a table without a shape keeps its number
+    return grid.select("document_id", "page_pos", "table_index", cells.alias(name))
 
 
 @query()
