@@ -1060,28 +1060,14 @@ def page_offset_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _table_cells(spark: SparkSession, d: str, route: str, name: str) -> DataFrame:
-    """Cells of every table of a route: one slot each, boxes by even division of the table's grid."""
+    """Cells of every table of a route: one slot each, with the stored box of a slot or a zero box."""
     w = Window.partitionBy("document_id", "page_pos").orderBy("block_pos")
     grid = _routed_blocks(spark, d).where((F.col("type") == "table") & (F.col("route") == route)).select(
         "document_id", "page_pos", (F.row_number().over(w) - 1).alias("table_index"),
+        F.from_json(F.expr("metadata['grid_cell_bboxes']"), "array<array<array<double>>>").alias("stored"),
         F.expr("try_cast(metadata['row_count'] AS INT)").alias("r"), F.expr("try_cast(metadata['column_count'] AS INT)").alias("c"),
     )
-
-    def box(i: Column, j: Column) -> Column:
-        r, c = F.col("r"), F.col("c")
-        return F.array(j / c, i / r, (j + 1) / c, (i + 1) / r)
-
-    cells = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.col("r") - 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(0), F.col("c") - 1),
-                lambda j: F.struct(F.array(i).alias("row_nums"), F.array(j).alias("column_nums"), box(i, j).alias("bbox")),
-            ),
-        )
-    )
-    cells = F.when((F.col("r") > 0) & (F.col("c") > 0), cells)  # a table without a shape keeps its number
-    return grid.select("document_id", "page_pos", "table_index", cells.alias(name))
+    return grid.select("document_id", "page_pos", "table_index", structure.predicted_cells(F.col("r"), F.col("c"), F.col("stored")).alias(name))
 
 
 @query()
