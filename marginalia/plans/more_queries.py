@@ -224,7 +224,7 @@ def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def router_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Routers of three penalties and two class weights, fitted on hashed train papers, and the best one."""
+    """Routers of three penalties and three class weights, fitted on hashed train papers, and the best one."""
     f = routing.invariant_features(F.col("question"), F.col("caption_signal"))
     y = F.when(F.col("colsmol_metrics.mrr") > F.col("caption_metrics.mrr"), 1).otherwise(0)
     rows = core._routable(spark, d).select(
@@ -232,7 +232,7 @@ def router_grid(spark: SparkSession, d: str) -> DataFrame:
         *[F.col(f"{s}_metrics")[m].alias(f"{m}_{k}") for m in ("mrr", "recall_at_1") for s, k in (("caption", "c"), ("colsmol", "s"))],
     ).dropna()
     parts = cut_lineage(rows.join(splits.hash_split(rows.select("paper"), "paper", 0.7), "paper"))
-    grid = routing.router_grid(parts.where("split = 'train'"), parts.where("split <> 'train'"), list(routing.INVARIANT), [0.1, 1.0, 10.0], [1.0, 2.0], (0.85, 0.8, 0.8))
+    grid = routing.router_grid(parts.where("split = 'train'"), parts.where("split <> 'train'"), list(routing.INVARIANT), [0.1, 0.25, 1.0], [1.0, 2.0, 4.0], (0.85, 0.95, 0.95))
     best = routing.best_candidate(grid)
     out = [(g["c"], g["positive_weight"], g["feasible"], g.get("threshold"), g.get("mrr"), g.get("route_rate"), g is best) for g in grid]
     return spark.createDataFrame(out, "c double, positive_weight double, feasible boolean, threshold double, mrr double, route_rate double, best boolean")

@@ -124,3 +124,17 @@ def test_rescue_cost(spark):
     got = {r.strategy: r for r in cost.rescue_cost(calls, pages, lat, {"top": 0, "wide": 1}, 0.3, 0.0).collect()}
     assert (got["top"].unique_pages, got["top"].uncached_calls, got["top"].cached_seconds, got["top"].uncached_seconds) == (2, 3, 3.0, 4.0)
     assert got["wide"].unique_pages == 3 and not got["wide"].gate_passed and got["top"].gate_passed
+
+
+def test_configured_grid(spark, data, monkeypatch):
+    from marginalia.plans import more_queries
+
+    asked = []
+
+    def grid(train, calibration, names, cs, weights, gate):
+        asked.append((cs, weights, gate))
+        return [{"c": 1.0, "positive_weight": 1.0, "feasible": False}]
+
+    monkeypatch.setattr(more_queries.routing, "router_grid", grid)
+    more_queries.router_grid(spark, data)
+    assert asked == [([0.1, 0.25, 1.0], [1.0, 2.0, 4.0], (0.85, 0.95, 0.95))]
