@@ -1020,7 +1020,7 @@ def normalize_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SHAPES_SQL = f"""{_PAGES_SQL}, sh AS (SELECT document_id, route, page_pos, row_number() OVER (PARTITION BY document_id, route, page_pos ORDER BY block_pos) - 1 AS table_index,
-      TRY_CAST(metadata['row_count'] AS BIGINT) AS r, TRY_CAST(metadata['column_count'] AS BIGINT) AS c FROM texts WHERE type = 'table' AND TRY_CAST(metadata['row_count'] AS BIGINT) IS NOT NULL AND TRY_CAST(metadata['column_count'] AS BIGINT) IS NOT NULL)"""
+      TRY_CAST(metadata['row_count'] AS BIGINT) AS r, TRY_CAST(metadata['column_count'] AS BIGINT) AS c FROM texts WHERE type = 'table')"""
 
 
 def _shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -1029,7 +1029,7 @@ def _shapes(spark: SparkSession, d: str) -> DataFrame:
         F.expr("try_cast(metadata['row_count'] AS BIGINT)").alias("row_count"), F.expr("try_cast(metadata['column_count'] AS BIGINT)").alias("column_count"),
     )
     w = Window.partitionBy("document_id", "route", "page_pos").orderBy("block_pos")
-    return t.where("row_count is not null and column_count is not null").withColumn("table_index", F.row_number().over(w) - 1)
+    return t.withColumn("table_index", F.row_number().over(w) - 1)
 
 
 @query(
@@ -1060,14 +1060,16 @@ def page_offset_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _table_cells(spark: SparkSession, d: str, route: str, name: str) -> DataFrame:
-    """Cells of every table of a route: one slot each, with the stored box of a slot or a zero box."""
+    """Cells of every table of a route: regions of the cells stated with offsets, else one slot each, with its stored box or a zero box."""
     w = Window.partitionBy("document_id", "page_pos").orderBy("block_pos")
     grid = _routed_blocks(spark, d).where((F.col("type") == "table") & (F.col("route") == route)).select(
         "document_id", "page_pos", (F.row_number().over(w) - 1).alias("table_index"),
         F.from_json(F.expr("metadata['grid_cell_bboxes']"), "array<array<array<double>>>").alias("stored"),
+        F.from_json(F.expr("metadata['table_cells']"), structure.REGIONS).alias("regions"),
         F.expr("try_cast(metadata['row_count'] AS INT)").alias("r"), F.expr("try_cast(metadata['column_count'] AS INT)").alias("c"),
     )
-    return grid.select("document_id", "page_pos", "table_index", structure.predicted_cells(F.col("r"), F.col("c"), F.col("stored")).alias(name))
+    cells = F.when(F.size("regions") > 0, structure.region_cells(F.col("regions"))).otherwise(structure.predicted_cells(F.col("r"), F.col("c"), F.col("stored")))
+    return grid.select("document_id", "page_pos", "table_index", cells.alias(name))
 
 
 @query()
