@@ -35,10 +35,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps per held-out split and source, next to the published claims."""
-    pairs = _figure_pairs(spark, d).select("id_a", "id_b", "held_out_id").distinct()
+    pairs = _figure_pairs(spark, d)
     return overlap.split_report(table(spark, d, "figure_results"), pairs, table(spark, d, "external_summary"))
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out records with the number of their copies in train and the most they share with one."""
+    return overlap.record_overlaps(_figure_pairs(spark, d))
+
+
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "retrieval_results").select("result_id", "paper_id", "question_id", "method")
     return group_split.groups(rows)
@@ -122,6 +127,7 @@ QUERIES = {
     "p1_forms": p1_forms,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_records": p3_records,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p4_shares": p4_shares,

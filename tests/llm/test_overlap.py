@@ -95,3 +95,38 @@ def test_empty_and_report(spark):
     got = {r.source: r for r in overlap.split_report(df, overlap.cross_split_pairs(df), claims).collect()}
     assert (got["b"].pairs, got["b"].papers_shared, got["b"].claimed_least, got["b"].claimed_most) == (1, 1, 5, 7)
     assert (got[None].records, got[None].pairs, got[None].claimed_least) == (1, 0, None)
+
+
+def test_hot_words_at_every_level(spark):
+    """Few words for many texts, random edits up to a fifth: keys of one, two and three words lose nothing."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    q = [rng.choice(vocab) for _ in range(9)]
+    base = [[rng.choice(vocab) for _ in range(n)] for n in (2, 3, 20, 35)]
+    data = []
+    for k in range(90):
+        c, asked = list(base[k % 4]), list(q)
+        for _ in range(rng.randint(0, max(1, len(c) // 5 + 1))):
+            at = rng.randrange(len(c))
+            c[at : at + 1] = rng.choice([[], [rng.choice(vocab)], [rng.choice(vocab), c[at]]])
+            c = c or ["w0"]
+        if rng.random() < 0.5:
+            asked[rng.randrange(9)] = rng.choice(vocab)
+        data.append((k, rng.choice(["train", "test"]), " ".join(asked), " ".join(c), 1, "x"))
+    got = {(r.id_a, r.id_b): r.fraction for r in overlap.cross_split_pairs(rows(spark, data), hot=3).collect()}
+    assert got.keys() == brute(data) and len(got) > 100
+    w = {i: (overlap.words(q), overlap.words(c)) for i, _, q, c, *_ in data}
+    side = {r[0]: r[1] for r in data}
+    for (a, b), fraction in got.items():
+        a, b = (a, b) if side[a] == "train" else (b, a)
+        shared = sum(overlap.shared_length(x, y) for x, y in zip(w[a], w[b]))
+        assert fraction == shared / max(sum(map(len, w[a])), sum(map(len, w[b])))
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        x, y = overlap.word_digests(a), overlap.word_digests(b)
+        apart = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(overlap.parity(x), overlap.parity(y)))
+        assert apart <= len(set(x) ^ set(y))
