@@ -1,22 +1,29 @@
 """One form for texts that read alike but are stored with different characters.
 
 Tokens of the corpus are matched against tries of its own vocabulary by a weighted edit
-automaton in which a look-alike letter, another width, a split or joined accent and an
-ignorable character cost nothing, and every other edit costs one. A token that reaches a
-vocabulary word within the budget (0: only free edits) takes that word's spelling; a token
-that reaches none is spelled by the look-alike table.
+automaton. A look-alike letter read as the letter it most likely stands for, another width, a
+split or joined accent and an ignorable character cost nothing; a letter that is drawn like
+several (a bar that reads I or l) costs SECOND for a reading but the likeliest; every other edit
+costs one. The token takes the spelling of the cheapest vocabulary word within the budget, the
+most frequent of equally cheap ones; a token that reaches none is spelled by the look-alike
+table. So what a bar reads as is decided by the words of the corpus, not by the table.
+
+The vocabulary that gives spellings are the words without look-alikes, odd widths and
+ignorables, however frequent others are: no form holds a look-alike that the table knows.
 
 Defined results
   * null text gives a null form, text without visible characters gives '';
   * blanks of any kind are one blank, runs of them too, none at either end;
   * case, accents, raised or lowered digits, Greek letters without a Latin twin and all other
     visible signs stay as they are;
-  * repeated rows and ties: the spelling is chosen per distinct token, by (written without
-    look-alikes first, then frequency, then spelling), so equal texts get equal forms.
+  * repeated rows and ties: the spelling is chosen per distinct token, by (cost, frequency,
+    spelling), so equal texts get equal forms.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import unicodedata
 from functools import lru_cache
 
@@ -24,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # Letters drawn as a Latin one in usual fonts (Unicode names them apart).
 LOOKALIKES = {
@@ -43,6 +50,11 @@ LOOKALIKES = {
     "“": '"', "”": '"', "‟": '"', "∶": ":", "ː": ":", "٫": ",", "∕": "/", "⁄": "/", "․": ".", "…": "...", "‥": "..",
 }
 
+# Letters drawn like several Latin ones, the likeliest reading first.
+SEVERAL = {"І": "Il", "Ι": "Il", "Ӏ": "Il", "Ⅰ": "Il", "ӏ": "lI", "ⅼ": "lI"}
+#: Cost of a reading but the likeliest, and of all free and second readings of a token together.
+SECOND, BUDGET = 0.25, 0.5
+
 #: Anything that is not a plain printable ASCII character.
 UNUSUAL = r"[^\x20-\x7E]"
 #: Blanks of every kind, as a class for Java's and Python's regular expressions alike.
@@ -88,6 +100,19 @@ def by_table(token: str) -> str:
     return respelled(token)
 
 
+@lru_cache(maxsize=65536)
+def readings(ch: str) -> tuple[tuple[str, float], ...]:
+    """What one character can read as, with costs, the cheapest first."""
+    if ch in SEVERAL:
+        return tuple((r, 0.0 if i == 0 else SECOND) for i, r in enumerate(SEVERAL[ch]))
+    return ((reading(ch), 0.0),)
+
+
+def skeleton(spelled: str) -> str:
+    """What a token and every word that it can read as have in common: letters drawn alike as one."""
+    return spelled.replace("I", "l")
+
+
 class Trie:
     """Vocabulary words by their characters, accents apart."""
 
@@ -101,57 +126,51 @@ class Trie:
         if "" not in node or rank < node[""][0]:
             node[""] = (rank, word)
 
-    def nearest(self, token: str, budget: float = 0.0) -> str | None:
+    def nearest(self, token: str, budget: float = BUDGET) -> str | None:
         """Spelling of the word at the least cost within budget; ties by rank.
 
-        States are (trie node, place in token, pending reading): free moves skip ignorables
-        and step over look-alikes, whether they stand in the token or in the word; other
-        substitutions, insertions and deletions cost one.
+        States are (trie node, place in the token), visited by rising cost.
         """
         apart = unicodedata.normalize("NFD", token)
-        best: tuple | None = None
-        seen: dict = {}
-        stack = [(0.0, self.root, 0, "", "")]  # cost, node, place, unread of token, unread of word
-        while stack:
-            cost, node, at, left, right = stack.pop()
-            key = (id(node), at, left, right)
-            if seen.get(key, budget + 1) <= cost or (best and cost > best[0]):
-                continue
-            seen[key] = cost
-            if left and right:  # both sides have read something: it must agree
-                if left[0] == right[0]:
-                    stack.append((cost, node, at, left[1:], right[1:]))
-                elif cost + 1 <= budget:
-                    stack.append((cost + 1, node, at, left[1:], right[1:]))
-                    stack.append((cost + 1, node, at, left[1:], right))
-                    stack.append((cost + 1, node, at, left, right[1:]))
-                continue
-            if at == len(apart) and not left and not right and "" in node:
-                found = (cost, *node[""])
-                if best is None or found[:2] < best[:2]:
-                    best = found
-            if not left and at < len(apart):
-                stack.append((cost, node, at + 1, reading(apart[at]), right))
-            if not right:
-                if left:
-                    steps = ((c, n) for c, n in node.items() if c and reading(c)[:1] in (left[0], ""))
-                    if cost + 1 <= budget:
-                        steps = ((c, n) for c, n in node.items() if c)
-                        stack.append((cost + 1, node, at, left[1:], ""))
-                else:
-                    steps = ((c, n) for c, n in node.items() if c and (reading(c) == "" or cost + 1 <= budget))
-                for c, n in steps:
-                    stack.append((cost, n, at, left, reading(c)))
-            elif right and not left and at == len(apart) and cost + 1 <= budget:
-                stack.append((cost + 1, node, at, "", right[1:]))
+        order = itertools.count()
+        best, seen = None, {}
+        waiting = [(0.0, next(order), self.root, 0)]
+
+        def go(cost: float, node: dict | None, at: int) -> None:
+            if node is not None and cost <= budget and cost < seen.get((id(node), at), budget + 1):
+                seen[id(node), at] = cost
+                heapq.heappush(waiting, (cost, next(order), node, at))
+
+        while waiting:
+            cost, _, node, at = heapq.heappop(waiting)
+            if best is not None and cost > best[0]:
+                break
+            if at == len(apart):
+                if "" in node and (best is None or (cost, *node[""]) < best):
+                    best = (cost, *node[""])
+            else:
+                for read, price in readings(apart[at]):
+                    to = node
+                    for ch in read:
+                        to = to.get(ch) if to is not None else None
+                    go(cost + price, to, at + 1)
+            if cost + 1 <= budget:
+                if at < len(apart):
+                    go(cost + 1, node, at + 1)
+                for ch, to in node.items():
+                    if ch:
+                        go(cost + 1, to, at)
+                        if at < len(apart):
+                            go(cost + 1, to, at + 1)
         return best[2] if best else None
 
 
-def match_words(vocabulary: list[tuple[str, int]], tokens: list[str], budget: float = 0.0) -> list[str]:
-    """Canonical spelling of each token, given (word, frequency) pairs of one shard."""
+def match_words(vocabulary: list[tuple[str, int]], tokens: list[str], budget: float = BUDGET) -> list[str]:
+    """Canonical spelling of each token, given (word, frequency) pairs; words that the table would spell anew give none."""
     trie = Trie()
     for word, n in vocabulary:
-        trie.add(word, (by_table(word) != word, -n, word))
+        if by_table(word) == word:
+            trie.add(word, (-n, word))
     return [trie.nearest(t, budget) or by_table(t) for t in tokens]
 
 
@@ -160,52 +179,52 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda t: t != "")
 
 
-def spellings(tokens: DataFrame, budget: float = 0.0, trie_words: int = 50_000) -> DataFrame:
-    """(token, spelling) of every distinct token in tokens(token, n) that is not plain ASCII.
+def spellings(tokens: DataFrame, budget: float = BUDGET, trie_words: int = 50_000) -> DataFrame:
+    """(token, n, spelling) of every distinct token in tokens(token, n) that is not plain ASCII.
 
-    Free edits keep what a token reads as, so tokens and words are sharded by that reading:
-    whatever a token can reach for nothing lies in its own shard. Within a shard they are
-    sorted by it and tries of at most about trie_words words are built one after another,
-    so that memory does not grow with the vocabulary. A budget above 0 would need words of
-    other shards and is refused here; Trie.nearest itself takes any.
+    Below the cost of an ordinary edit a token reaches only words of its own skeleton, so tokens
+    and words are sharded by it. Within a task they are sorted by it and tries of at most about
+    trie_words words are built one after another, so that memory does not grow with the
+    vocabulary. A larger budget would need words of other shards and is refused here;
+    Trie.nearest itself takes any.
     """
-    if budget != 0.0:
-        raise ValueError("only free edits keep a token in its shard")
+    if budget >= 1.0:
+        raise ValueError("an ordinary edit takes a token out of its shard")
 
     @F.pandas_udf("string")
-    def read_as(t: pd.Series) -> pd.Series:
-        return t.map(by_table)
+    def bones(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: skeleton(by_table(x)))
 
     def run(batches):
         words: list[tuple[str, int]] = []
-        asked: list[str] = []
+        asked: list[tuple[str, int]] = []
         last = None
 
         def flush():
-            return pd.DataFrame({"token": asked, "spelling": match_words(words, asked)}, dtype="object")
+            tokens_, n = [t for t, _ in asked], [n for _, n in asked]
+            return pd.DataFrame({"token": tokens_, "n": n, "spelling": match_words(words, tokens_, budget)})
 
         for batch in batches:
-            for reads, token, n in zip(batch["reads"], batch["token"], batch["n"]):
-                if reads != last and len(words) >= trie_words:
-                    yield flush()
+            for shard, token, n in zip(batch["shard"], batch["token"], batch["n"]):
+                if shard != last and len(words) >= trie_words:
+                    if asked:
+                        yield flush()
                     words, asked = [], []
-                last = reads
-                if len(token) > 0 and not any(reading(c) == "" for c in token):
-                    words.append((token, int(n)))
+                last = shard
+                words.append((token, int(n)))
                 if not (token.isascii() and token.isprintable()):
-                    asked.append(token)
+                    asked.append((token, int(n)))
         if asked:
             yield flush()
 
-    unusual = cut_lineage(tokens.where(F.col("token").rlike(UNUSUAL)).withColumn("reads", read_as("token")))
-    usual = tokens.where(~F.col("token").rlike(UNUSUAL)).withColumn("reads", F.col("token"))
-    # words that no unusual token reads as cannot be reached
-    reachable = usual.join(unusual.select("reads").distinct(), "reads", "left_semi")
+    unusual = cut_lineage(tokens.where(F.col("token").rlike(UNUSUAL)).withColumn("shard", bones("token")))
+    usual = tokens.where(~F.col("token").rlike(UNUSUAL)).withColumn("shard", F.translate("token", "I", "l"))
+    # words that no unusual token shares its skeleton with cannot be reached
+    reachable = usual.join(unusual.select("shard").distinct(), "shard", "left_semi")
     return (
-        unusual.unionByName(reachable)
-        .repartition("reads")
-        .sortWithinPartitions("reads", "token")
-        .mapInPandas(run, "token string, spelling string")
+        spread(unusual.unionByName(reachable), "shard")
+        .sortWithinPartitions("shard", "token")
+        .mapInPandas(run, "token string, n long, spelling string")
     )
 
 
@@ -224,10 +243,13 @@ def canonical_forms(df: DataFrame, keys: list[str], text: str, vocabulary: DataF
     odd = F.coalesce(F.col("text").rlike(UNUSUAL), F.lit(False))
     odd_rows = rows.where(odd).withColumn("tid", F.sha2("text", 256))
     odd_texts = odd_rows.groupBy("tid").agg(F.first("text").alias("whole"))
+    spelled = cut_lineage(spellings(vocabulary))
+    # tokens in more than a thousandth of all places are fewer than a thousand: no other key is as hot
+    hot = spelled.where(F.col("n") > 0.001 * (spelled.agg(F.sum("n")).first()[0] or 0)).drop("n")
+    each = odd_texts.select("tid", F.explode(F.array_distinct(tokens_of(F.col("whole")))).alias("token")).where(F.col("token").rlike(UNUSUAL))
     parts = (
-        odd_texts.select("tid", F.explode(F.array_distinct(tokens_of(F.col("whole")))).alias("token"))
-        .where(F.col("token").rlike(UNUSUAL))
-        .join(spellings(vocabulary), "token")
+        each.join(F.broadcast(hot), "token", "left_anti").join(spelled.drop("n"), "token")
+        .unionByName(each.join(F.broadcast(hot), "token"))
         .groupBy("tid")
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("spelled"))
     )
@@ -249,27 +271,31 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def alike_pairs(forms: DataFrame, kind: str = "kind", key: str = "key") -> DataFrame:
-    """(kind, key_a, key_b): rows whose texts differ in characters but have one form.
+def alike_classes(forms: DataFrame, kind: str = "kind", key: str = "key") -> DataFrame:
+    """(kind, key, class, spelling, texts, rows, links) of rows whose form occurs in several spellings.
 
-    forms(kind, key, text, form). Texts of a form are counted as distinct texts first, so
-    groups of mere copies, however large, never meet themselves. Empty forms pair nothing.
+    forms(kind, key, text, form). class and spelling are digests of form and text; texts is the
+    number of spellings of the class, rows that of its rows, links that of the rows with another
+    spelling than this one. Copies of one text are counted, not paired. Empty forms are no class.
     """
     f = cut_lineage(
         forms.where(F.col("form") != "").select(
-            F.col(kind).alias("kind"),
-            F.col(key).alias("key"),
-            F.sha2("form", 256).alias("h"),
-            F.sha2("text", 256).alias("t"),
+            F.col(kind).alias("kind"), F.col(key).alias("key"), F.sha2("form", 256).alias("class"), F.sha2("text", 256).alias("spelling")
         )
     )
-    several = (
-        f.groupBy("kind", "h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("kind", "h")
-    )
-    f = f.join(several, ["kind", "h"])
+    per = f.groupBy("kind", "class", "spelling").agg(F.count("*").alias("copies"))
+    of = per.groupBy("kind", "class").agg(F.count("*").alias("texts"), F.sum("copies").alias("rows")).where("texts > 1")
+    counted = per.join(of, ["kind", "class"]).withColumn("links", F.col("rows") - F.col("copies"))
+    return f.join(counted.drop("copies"), ["kind", "class", "spelling"])
+
+
+def alike_pairs(forms: DataFrame, kind: str = "kind", key: str = "key") -> DataFrame:
+    """(kind, key_a, key_b): rows whose texts differ in characters but have one form, the classes expanded."""
+    f = cut_lineage(alike_classes(forms, kind, key).select("kind", "key", "class", "spelling"))
     a, b = f.alias("a"), f.alias("b")
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.class") == F.col("b.class"))
     return (
-        a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.t") != F.col("b.t")))
+        a.join(b, same & (F.col("a.key") < F.col("b.key")) & (F.col("a.spelling") != F.col("b.spelling")))
         .select(F.col("a.kind").alias("kind"), F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
     )
 

@@ -24,6 +24,11 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("kind", "key", "form")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and blocks whose form occurs in several spellings, with the number of their links."""
+    return lookalike.alike_classes(_forms(spark, d)).select("kind", "key", "class", "texts", "rows", "links")
+
+
 def _figure_pairs(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, d, "figure_results"))
 
@@ -125,6 +130,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
+    "p1_classes": p1_classes,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p3_records": p3_records,
