@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern of the byte-level vocabularies (pieces that no token crosses).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZERS = "/opt/tokenizers"
-LEAF = 4096
-#: Pieces longer than this are merged by the library whose merging is not quadratic.
-LONG_PIECE = 2048
+#: Characters of a leaf: some twenty pieces, so that all but tiny texts are joined from several.
+LEAF = 128
+#: Short pieces whose ids a worker keeps, at most.
+KEPT = 200_000
 
 
 class Encoder:
@@ -51,8 +52,7 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.encoding = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(PATTERN)
-        self.name = name
-        self.slow = None
+        self.kept: dict[str, list[int]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """What the pattern cuts; together they are the text."""
@@ -60,32 +60,16 @@ class Encoder:
 
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one piece."""
-        if len(piece) > LONG_PIECE and self._whole():
-            return self.slow.encode(piece, add_special_tokens=False).ids
-        return self.encoding.encode_ordinary(piece)
-
-    def _whole(self) -> bool:
-        file = self.path / f"{self.name}.json"
-        if self.slow is None and file.exists():
-            from tokenizers import Tokenizer
-
-            self.slow = Tokenizer.from_file(str(file))
-            self.slow.encode_special_tokens = True
-        return self.slow is not None
-
-    def short(self, text: str) -> list[int]:
-        """Ids of a short text at once."""
-        if len(text) > LONG_PIECE and max(map(len, self.pieces(text)), default=0) > LONG_PIECE:
-            return [i for p in self.pieces(text) for i in self.piece_ids(p)]
-        return self.encoding.encode_ordinary(text)
+        ids = self.kept.get(piece)
+        if ids is None:
+            ids = self.encoding.encode_ordinary(piece)
+            if len(piece) <= 32 and len(self.kept) < KEPT:
+                self.kept[piece] = ids
+        return ids
 
     def encode(self, text: str | None, leaf: int = LEAF) -> list[int]:
         """Ids of a text of any length, by the tree."""
-        if not text:
-            return []
-        if len(text) <= leaf:
-            return self.short(text)
-        return self.tree(text, 0, len(text), leaf).ids()
+        return self.tree(text, 0, len(text), leaf).ids() if text else []
 
     def tree(self, text: str, start: int, end: int, leaf: int) -> "Encoded":
         if end - start <= leaf:
@@ -105,68 +89,51 @@ class Encoder:
 
 
 class Encoded:
-    """A monoid element: blocks of (piece, ids), kept as runs so that joins touch their ends only."""
+    """A monoid element: the pieces of a text and the ids of each."""
 
-    __slots__ = ("runs",)
+    __slots__ = ("pieces", "tokens")
 
-    def __init__(self, runs: list[list[tuple[str, list[int]]]]):
-        self.runs = [r for r in runs if r]
+    def __init__(self, encoder: Encoder, pieces: list[str]):
+        self.pieces = pieces
+        self.tokens = [encoder.piece_ids(p) for p in pieces]
 
     @classmethod
     def of(cls, encoder: Encoder, text: str) -> "Encoded":
-        return cls([[(p, encoder.piece_ids(p)) for p in encoder.pieces(text)]])
+        return cls(encoder, encoder.pieces(text))
 
     def ids(self) -> list[int]:
-        return [i for run in self.runs for _, ids in run for i in ids]
+        return [i for ids in self.tokens for i in ids]
 
     def join(self, encoder: Encoder, other: "Encoded") -> "Encoded":
         """self followed by other. Takes both over."""
-        if not self.runs or not other.runs:
-            return self if self.runs else other
-        window: list[str] = []
-        for _ in range(2):  # only the last two pieces can change
-            if self.runs:
-                window.append(self.runs[-1].pop()[0])
-                if not self.runs[-1]:
-                    self.runs.pop()
-        left = "".join(reversed(window))
-        right = list(reversed(other.runs))
-        taken = ""
+        if not self.pieces or not other.pieces:
+            return self if self.pieces else other
+        left = "".join(self.pieces[-2:])  # only the last two pieces can change
+        del self.pieces[-2:], self.tokens[-2:]
         grown = 4
-        cuts = {len(left)}  # where the right text has cuts
         while True:
-            for _ in range(grown):
-                if not right:
-                    break
-                run = right[-1]
-                piece = run[0][0]
-                taken += piece
-                cuts.add(len(left) + len(taken))
-                if len(run) == 1:
-                    right.pop()
-                else:
-                    right[-1] = run[1:]
-            pieces = encoder.pieces(left + taken)
-            if not right:
-                return Encoded([*self.runs, [(p, encoder.piece_ids(p)) for p in pieces]])
-            at, meets = 0, None
-            for k, p in enumerate(pieces[:-2]):  # the window's own last pieces can change
+            taken = other.pieces[:grown]
+            pieces = encoder.pieces(left + "".join(taken))
+            if grown >= len(other.pieces):  # the window is the whole right text
+                return self._extended(encoder, pieces, other, grown)
+            cuts, at = {len(left): 0}, len(left)
+            for k, p in enumerate(taken, 1):
+                at += len(p)
+                cuts[at] = k
+            at = 0
+            for k, p in enumerate(pieces[:-2], 1):  # the window's own last pieces can change
                 at += len(p)
-                if at >= len(left) and at in cuts:
-                    meets = k
-                    break
-            if meets is not None:
-                joined = [(p, encoder.piece_ids(p)) for p in pieces[: meets + 1]]
-                # pieces taken beyond the meeting are pieces of the right text, unchanged
-                after = self._split_at((left + taken)[at:], sorted(c - at for c in cuts if c > at))
-                again = [(p, encoder.piece_ids(p)) for p in after]
-                return Encoded([*self.runs, joined, again, *reversed(right)])
+                if at in cuts:  # both readings go on from here
+                    return self._extended(encoder, pieces[:k], other, cuts[at])
             grown *= 2
 
-    @staticmethod
-    def _split_at(text: str, cuts: list[int]) -> list[str]:
-        bounds = [0, *cuts]
-        return [text[a:b] for a, b in zip(bounds, bounds[1:]) if b > a]
+    def _extended(self, encoder: Encoder, pieces: list[str], other: "Encoded", used: int) -> "Encoded":
+        """self with the pieces of the window and those of other behind the `used` ones."""
+        self.pieces += pieces
+        self.tokens += [encoder.piece_ids(p) for p in pieces]
+        self.pieces += other.pieces[used:]
+        self.tokens += other.tokens[used:]
+        return self
 
 
 @lru_cache(maxsize=4)
