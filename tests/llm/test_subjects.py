@@ -82,7 +82,36 @@ def test_papers_are_counted_exactly(spark):
     for i in range(500):  # papers whose hashes share their low six bits
         at.setdefault(subjects.xxhash.xxh64_intdigest(f"{6000 + i}.1") & 63, []).append(f"{6000 + i}.1")
     three = max(at.values(), key=len)[:3]
-    docs = spark.createDataFrame([(i, "The zymurgy was measured.", p) for i, p in enumerate(three)], "doc_id long, text string, paper string")
-    known = spark.createDataFrame([(i, 1.0) for i in range(3)], "doc_id long, s0 double")
-    assert subjects.learn(docs, known, 1, 1.0, 3, 3, 0.3).count() > 0
-    assert subjects.learn(docs.withColumn("paper", subjects.F.lit(three[0])), known, 1, 1.0, 3, 2, 0.3).count() == 0
+    docs = spark.createDataFrame([(str(i), "The zymurgy was measured.", p) for i, p in enumerate(three)], "node string, text string, paper string")
+    tokens = subjects.tokenised(docs).withColumn("t", subjects.F.col("node").cast("long"))
+    known = spark.createDataFrame([(i, 1.0) for i in range(3)], "t long, s0 double")
+    assert subjects.learn(tokens, known, 1, 1.0, 3, 3).count() > 0
+    assert subjects.learn(tokens.withColumn("paper", subjects.F.lit(three[0])), known, 1, 1.0, 3, 2).count() == 0
+
+
+def test_a_step_equals_one_over_listed_pairs(spark):
+    """A term carries to a document the mean label of all its neighbours through that term, itself included."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["verdict", "medal", "kernel", "audit", "orbit"]) for _ in range(3)) for _ in range(25)]
+    docs = spark.createDataFrame([(str(i), t, str(i)) for i, t in enumerate(texts)], "node string, text string, paper string")
+    tokens = subjects.tokenised(docs).withColumn("t", subjects.F.col("node").cast("long"))
+    y = {i: float(rng.random() < 0.5) for i in range(0, 25, 2)}
+    known = spark.createDataFrame(list(y.items()), "t long, s0 double")
+    got = {r.term: r.s0 for r in subjects.learn(tokens, known, 1, 0.0, 1, 1).collect()}
+    held = {i: set(subjects.text_terms(t)[1].tolist()) for i, t in enumerate(texts)}
+    for i in range(25):
+        for term in held[i]:
+            linked = [j for j in y if term in held[j]]  # the pairs (i, j) that share the term
+            assert (term in got) == bool(linked)
+            assert not linked or abs(got[term] - sum(y[j] for j in linked) / len(linked)) < 1e-12
+
+
+def test_trusted_seeds_stay(spark):
+    docs, truth = corpus(120)
+    labels = [(i, s, 0) for i in truth for s in truth[i] if i % 2]
+    docs += [(500, "Nothing that anyone knows of.", "9.1", 0), (501, "Nothing that anyone knows of.", "9.2", 0)]
+    wrong = next(i for i in truth if truth[i] == {"law"} and i % 2 == 0 and "aside" not in docs[i][1])
+    got = run(spark, docs, labels + [(500, "sport", 0), (wrong, "sport", 0)])
+    assert got[500] == got[501] == {"sport"}  # nothing speaks against it, and equal texts are one node
+    assert got[wrong] == {"law"}  # contradicted by its text
+    assert all(truth[i] <= got[i] for i in truth if i % 2 and truth[i])
