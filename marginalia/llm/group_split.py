@@ -67,30 +67,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the graph's paths are too long for the number of rounds")
 
 
-def groups(df: DataFrame, row: str = "result_id", paper: str = "paper_id", question: str = "question_id") -> DataFrame:
-    """df with group_id, the smallest row id of all rows connected to a row."""
-    columns = df.columns
-    keyed = df.select(
-        *[F.col(c).alias(f"in_{i}") for i, c in enumerate(columns)],
-        F.col(row).alias("row"),
-        F.xxhash64(F.lit("paper"), paper_key(paper)).alias("p"),
-        F.xxhash64(F.lit("question"), real_id(question)).alias("q"),
-        paper_key(paper).isNotNull().alias("has_p"),
-        real_id(question).isNotNull().alias("has_q"),
-    )
-    keyed = keyed.withColumns(
-        {"p": F.when(F.col("has_p"), F.col("p")), "q": F.when(F.col("has_q"), F.col("q"))}
+def groups(
+    df: DataFrame, row: str = "result_id", paper: str = "paper_id", question: str = "question_id", keep: list[str] | None = None
+) -> DataFrame:
+    """df's columns (or those to keep) with group_id, the smallest row id of all rows connected to a row.
+
+    A question of one paper ties nothing, so the graph whose components are sought has only the
+    papers that questions share: each is tied to the least paper of the question.
+    """
+    columns = keep or df.columns
+    named = df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(columns)], F.col(row).alias("row"), paper_key(paper).alias("pk"), real_id(question).alias("qk"))
+    out = [f"in_{i}" for i in range(len(columns))]
+    keyed = cut_lineage(  # ids are folded once, whatever reads them below
+        named.select(
+            *out,
+            "row",
+            F.when(F.col("pk").isNotNull(), F.xxhash64(F.lit("paper"), "pk")).alias("p"),
+            F.when(F.col("qk").isNotNull(), F.xxhash64(F.lit("question"), "qk")).alias("q"),
+        )
     )
-    edges = keyed.where("has_p and has_q").select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
-    of_node = components(edges)
-    # one id node of each row; rows whose node has no edge keep the node itself
-    rows = keyed.withColumn("node", F.coalesce("p", "q")).drop("p", "q", "has_p", "has_q")
-    least = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("least"))
-    of_group = least.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    pairs = cut_lineage(keyed.where("p is not null and q is not null").select("p", "q").distinct())
+    of_question = cut_lineage(pairs.groupBy("q").agg(F.min("p").alias("m"), F.count("*").alias("papers")))
+    ties = pairs.join(of_question.where("papers > 1"), "q").where("p <> m").select(F.col("m").alias("u"), F.col("p").alias("v"))
+    of_paper = components(ties)
+    asked = keyed.where("p is null and q is not null").join(of_question.select("q", "m"), "q", "left")
+    rows = keyed.where("p is not null").select(*out, "row", F.col("p").alias("node")).unionByName(asked.select(*out, "row", F.coalesce("m", "q").alias("node")))
+    least = rows.groupBy("node").agg(F.min("row").alias("least"))
+    of_group = cut_lineage(least.join(of_paper, "node", "left").withColumn("component", F.coalesce("component", "node")))
     lowest = of_group.groupBy("component").agg(F.min("least").alias("group_id"))
-    named = of_group.join(lowest, "component").select("node", "group_id")
-    joined = rows.join(named, "node", "left").withColumn("group_id", F.coalesce("group_id", "row"))
-    return joined.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns) if c != "group_id"], "group_id")
+    joined = rows.join(of_group.join(lowest, "component").select("node", "group_id"), "node").select(*out, "group_id")
+    alone = keyed.where("p is null and q is null").select(*out, F.col("row").alias("group_id"))
+    return joined.unionByName(alone).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns) if c != "group_id"], "group_id")
 
 
 def place(groups_: list[tuple[object, dict[str, float]]], needed: dict[str, dict[str, float]]) -> dict[object, str]:

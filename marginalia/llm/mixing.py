@@ -39,6 +39,12 @@ from ..session import cut_lineage, spread
 from .encoding import TOKENIZERS, token_count
 
 
+#: Tokens of an output shard, at most on average, where the number of shards is not given.
+SHARD_TOKENS = 1 << 30
+#: Slots that are listed at once.
+STRETCH = 8192
+
+
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
     """Place of each index under a pseudorandom permutation of 0..size-1 named by key.
 
@@ -100,7 +106,7 @@ class Mix:
         docs: DataFrame,
         weights: DataFrame,
         block: int = 64,
-        shards: int = 64,
+        shards: int | None = None,
         seed: int = 7,
         spare: float = 3.0,
         slots: int | None = None,
@@ -109,7 +115,7 @@ class Mix:
         folder: str = TOKENIZERS,
     ):
         docs = docs.select("doc_id", "text", "source")
-        self.docs, self.block, self.shards, self.seed = docs, block, shards, seed
+        self.docs, self.block, self.seed = docs, block, seed
         self.spark = docs.sparkSession
         self.weights = (
             weights.where(F.col("source").isNotNull())
@@ -132,7 +138,7 @@ class Mix:
             spread(texts, "doc_id").select("doc_id", "source", token_count("text", tokenizer, folder).alias("tokens")).where("tokens > 0")
         )
         self._lay_out(order_rows)
-        self._draw(spare, slots)
+        self._draw(spare, slots, shards)
 
     def _lay_out(self, order_rows: int) -> None:
         """Place of every text in its source's stream: a prefix sum in two levels."""
@@ -147,7 +153,7 @@ class Mix:
             "source", "doc_id", "tokens", (F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("start")
         )
 
-    def _draw(self, spare: float, slots: int | None) -> None:
+    def _draw(self, spare: float, slots: int | None, shards: int | None) -> None:
         """What every source holds and gets. One row for each weighted source, on the driver."""
         held = self.sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
         rows = self.weights.where("target_weight > 0").join(held, "source").orderBy("source").collect()
@@ -157,6 +163,7 @@ class Mix:
         self.blocks = np.array([math.ceil(r["tokens"] / self.block) for r in rows], dtype=np.int64)
         room = self.blocks * np.array([r["max_repeats"] for r in rows], dtype=np.int64)
         self.slots = slots_that_fit(self.effective, room, spare) if slots is None else slots
+        self.shards = shards or max(64, math.ceil(self.slots * self.block / SHARD_TOKENS))
         self.counts = draw_counts(self.effective, room, self.slots, self.shards, self.seed)
 
     def slot_blocks(self) -> DataFrame:
@@ -178,8 +185,10 @@ class Mix:
             return pd.Series(permuted(slot.to_numpy() % n, n, key))
 
         rows = self.spark.createDataFrame(plan, "shard int, source string, at int, first long, n long, size long")
-        slot = rows.repartition("shard", "source").select(
-            "shard", "source", "at", "size", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")
+        last = F.col("first") + F.col("n") - 1
+        stretches = rows.select("shard", "source", "at", "size", last.alias("last"), F.explode(F.sequence("first", last, F.lit(STRETCH))).alias("begin"))
+        slot = stretches.repartition("shard", "source", "begin").select(
+            "shard", "source", "at", "size", F.explode(F.sequence("begin", F.least("last", F.col("begin") + (STRETCH - 1)))).alias("slot")
         )
         return slot.select(
             "shard", "source", "slot", F.floor(F.col("slot") / F.col("size")).cast("int").alias("pass"), place("slot", "size", "at").alias("block")

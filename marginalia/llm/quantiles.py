@@ -23,12 +23,25 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K = 1024
+
+
+def buffer_size(epsilon: float, values: float = 1e9) -> int:
+    """Least power of two that keeps the rank error of a group of up to `values` values below epsilon of them."""
+    k = 2
+    while values > k and math.log2(values / k) / (2 * k) + 1 / k > epsilon:
+        k *= 2
+    return k
+
+
+#: Rank errors of at most 1.1 % of the group, for groups of up to a billion values.
+K = buffer_size(0.011)
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 SUMMARY = "k int, n long, rank_error double, turn int, buffers array<struct<level:int,values:array<double>>>"
 

@@ -49,18 +49,17 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return overlap.record_overlaps(_figure_pairs(spark, d))
 
 
-def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "retrieval_results").select("result_id", "paper_id", "question_id", "method")
-    return group_split.groups(rows)
+def _grouped(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return group_split.groups(table(spark, d, "retrieval_results"), keep=["result_id", *keep])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every retrieval result with the smallest id of its group."""
-    return _grouped(spark, d).select("result_id", "group_id")
+    return _grouped(spark, d)
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    rows = cut_lineage(_grouped(spark, d).select("result_id", "method", "group_id"))
+    rows = cut_lineage(_grouped(spark, d, "method"))
     return rows.join(group_split.stratified_splits(rows), "group_id")
 
 

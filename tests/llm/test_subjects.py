@@ -110,7 +110,8 @@ def test_trusted_seeds_stay(spark):
     docs, truth = corpus(120)
     labels = [(i, s, 0) for i in truth for s in truth[i] if i % 2]
     docs += [(500, "Nothing that anyone knows of.", "9.1", 0), (501, "Nothing that anyone knows of.", "9.2", 0)]
-    wrong = next(i for i in truth if truth[i] == {"law"} and i % 2 == 0 and "aside" not in docs[i][1])
+    wrong = 502
+    docs += [(wrong, "The tribunal of Sys1 was measured. The affidavit of Sys1 was measured. The plaintiff of Sys1 was measured.", "9.3", 0)]
     got = run(spark, docs, labels + [(500, "sport", 0), (wrong, "sport", 0)])
     assert got[500] == got[501] == {"sport"}  # nothing speaks against it, and equal texts are one node
     assert got[wrong] == {"law"}  # contradicted by its text
