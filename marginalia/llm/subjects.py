@@ -58,6 +58,10 @@ LINE = regex.compile(r"[\r\n]+")
 SENTENCE = regex.compile(r"(?<=[.!?])[\"”'’)\]]*\s+")
 
 
+#: Verified terms up to this many (some 20 MB) are joined by broadcast, more by a shuffle, with the same result.
+SENT_TERMS = 200_000
+
+
 def text_units(text: str) -> list[str]:
     """Sentences and lines of a text."""
     return [u for line in LINE.split(BREAK.sub("", text)) for u in SENTENCE.split(line) if u.strip()]
@@ -180,24 +184,23 @@ def support(tokens: DataFrame, terms: DataFrame, trusted: DataFrame, n: int, cle
     """
     each = F.array(*[F.struct(F.lit(i).alias("subject_at"), F.col(f"s{i}").alias("share")) for i in range(n)])
     reached = terms.select("term", F.filter(each, lambda x: x["share"] >= vague).alias("reached"))
+    if terms.count() <= SENT_TERMS:
+        reached = F.broadcast(reached)
     hits = tokens.select("t", F.explode(F.arrays_zip("unit", "term")).alias("x")).select("t", F.col("x.unit").alias("unit"), F.col("x.term").alias("term"))
-    best = (
-        hits.join(reached, "term")
-        .select("t", "unit", F.inline("reached"))
-        .groupBy("t", "unit", "subject_at")
-        .agg(F.max("share").alias("share"))
-    )
-    in_unit = Window.partitionBy("t", "unit")
-    in_document = Window.partitionBy("t", "subject_at")
+    # a trusted label is one more clear unit, numbered -1; all that follows is grouped by document
+    labels = trusted.select("t", F.lit(-1).alias("unit"), "subject_at", F.lit(1.0).alias("share"))
+    every = hits.join(reached, "term").select("t", "unit", F.inline("reached")).unionByName(labels).repartition("t")
+    best = every.groupBy("t", "unit", "subject_at").agg(F.max("share").alias("share"))
     is_clear = F.col("share") >= clear
-    marked = best.join(trusted.withColumn("trusted", F.lit(True)), ["t", "subject_at"], "left").select(
+    marked = best.select(
         "t",
+        "unit",
         "subject_at",
         is_clear.alias("clear"),
-        F.max(is_clear).over(in_unit).alias("unit_clear"),
-        (F.max(is_clear).over(in_document) | F.coalesce("trusted", F.lit(False))).alias("backed"),
+        F.max(is_clear).over(Window.partitionBy("t", "unit")).alias("unit_clear"),
+        F.max(is_clear).over(Window.partitionBy("t", "subject_at")).alias("backed"),
     )
-    counts = F.col("clear") | (F.col("backed") & ~F.col("unit_clear"))
+    counts = (F.col("unit") >= 0) & (F.col("clear") | (F.col("backed") & ~F.col("unit_clear")))
     return marked.where(counts).groupBy("t", "subject_at").agg(F.count("*").cast("int").alias("units"), F.count_if("clear").cast("int").alias("clear_units"))
 
 
