@@ -82,6 +82,19 @@ def map_evidence(evidence: DataFrame, paragraphs: DataFrame) -> DataFrame:
     )
 
 
+def relevant_positions(evidence: DataFrame, paragraphs: DataFrame, place: list[str]) -> DataFrame:
+    """(paper_id, question_id, relevant): the places, sorted, of the paragraphs that equal an evidence string.
+
+    evidence(paper_id, question_id, item), paragraphs(paper_id, paragraph, *place). Compared by
+    evidence_form; markers and blanks are left out; every occurrence counts; a question whose
+    evidence is nowhere has no row.
+    """
+    marker = F.lit(FLOAT_MARKER.casefold())
+    asked = evidence.select("paper_id", "question_id", evidence_form("item").alias("form")).where((F.col("form") != "") & (F.col("form") != marker)).distinct()
+    held = paragraphs.select("paper_id", F.struct(*place).alias("place"), evidence_form("paragraph").alias("form")).where("form <> ''")
+    return asked.join(held, ["paper_id", "form"]).groupBy("paper_id", "question_id").agg(F.array_sort(F.collect_list("place")).alias("relevant"))
+
+
 def audit(questions: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """One row for each answerable question: evidence type and unique, tied and unmapped counts."""
     asked = answerable(questions)

@@ -150,6 +150,59 @@ def search(vectors: DataFrame, queries: DataFrame, n: int | None, start: int = 1
     return ranked(found, ["query_id"], n=n)
 
 
+def search_signals(vectors: DataFrame, queries: DataFrame, start: int = 1, length: int | None = None, rows: int = 8192) -> DataFrame:
+    """What signals() gives of all scores of each query, itself left out, without listing a score.
+
+    A block of vectors gives, for each query of its block, the number of scores, the two highest
+    and the sums of e and of e (score - highest), e being exp(score - highest); blocks are merged
+    by their highest score, one row a block and query.
+    """
+    v, q = (x.where(F.col("embedding").isNotNull()).select("vec_id", "embedding") for x in (vectors, queries))
+    v, q = _blocks(v, q, rows)
+    stop = None if length is None else start - 1 + length
+    names = ("query_id", "n", "m", "second", "z", "w")
+
+    def matrix(x: pd.Series) -> np.ndarray:
+        return np.array([np.asarray(e, dtype=np.float64)[start - 1 : stop] for e in x])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            ids, asked = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+            a, b = matrix(left["embedding"]), matrix(right["asked"])
+            for at in range(0, len(b), 256):
+                scores = np.where(asked[at : at + 256, None] == ids[None, :], -np.inf, b[at : at + 256] @ a.T)
+                n = (scores > -np.inf).sum(axis=1)
+                top = -np.sort(-np.partition(scores, -min(2, scores.shape[1]), axis=1)[:, -2:], axis=1)
+                second = top[:, 1] if top.shape[1] > 1 else np.full(len(top), -np.inf)
+                with np.errstate(invalid="ignore"):
+                    apart = np.where(scores > -np.inf, scores - top[:, :1], 0.0)
+                e = np.where(scores > -np.inf, np.exp(apart), 0.0)
+                out.append(pd.DataFrame(dict(zip(names, (asked[at : at + 256], n, top[:, 0], second, e.sum(axis=1), (e * apart).sum(axis=1))))))
+        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
+        found = found[found["n"] > 0].astype({"query_id": "int64", "n": "int64"})
+        return found.astype({c: "float64" for c in names[2:]})
+
+    parts = v.groupBy("i", "j").cogroup(q.groupBy("qi", "qj")).applyInPandas(run, "query_id long, n long, m double, second double, z double, w double")
+    top = F.sort_array(F.flatten(F.collect_list(F.array("m", "second"))), False)  # two numbers for each block
+    of = F.collect_list(F.struct("m", "z", "w"))
+    merged = parts.groupBy("query_id").agg(F.sum("n").alias("candidates"), F.max("m").alias("top_score"), top[1].alias("second"), of.alias("blocks"))
+
+    def over_blocks(value) -> Column:
+        return F.aggregate("blocks", F.lit(0.0), lambda s, b: s + F.exp(b["m"] - F.col("top_score")) * value(b))
+
+    z, w = over_blocks(lambda b: b["z"]), over_blocks(lambda b: b["w"] + b["z"] * (b["m"] - F.col("top_score")))
+    n = F.col("candidates")
+    entropy = F.log(F.col("z")) - F.col("w") / F.col("z") - n * F.lit(1e-12)  # of ln(p + 1e-12), to first order
+    return merged.select("query_id", "candidates", "top_score", "second", z.alias("z"), w.alias("w")).select(
+        "query_id",
+        "candidates",
+        "top_score",
+        F.when(n > 1, F.col("top_score") - F.col("second")).otherwise(0.0).alias("top_margin"),
+        F.when(n > 1, entropy / F.log(n)).otherwise(0.0).alias("normalized_entropy"),
+    )
+
+
 def with_tail(ranking: DataFrame, candidates: DataFrame, query: list[str]) -> DataFrame:
     """ranking(query, doc_id, rank) with the candidates it misses behind it, in the order of their ids."""
     listed = ranking.select(*query, "doc_id", F.col("rank").cast("long").alias("rank"))

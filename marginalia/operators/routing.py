@@ -153,6 +153,14 @@ def best_threshold(
     return ok.orderBy(*order).limit(1)
 
 
+def select_threshold(sweep: DataFrame, max_route_rate: float, min_r1_retention: float = 0.0, min_mrr_retention: float = 0.0):
+    """best_threshold's only row; ValueError where no threshold meets the gates, as a policy cannot be locked then."""
+    found = best_threshold(sweep, max_route_rate, min_r1_retention, min_mrr_retention).collect()
+    if not found:
+        raise ValueError(f"no threshold routes at most {max_route_rate} and keeps {min_r1_retention} and {min_mrr_retention}")
+    return found[0]
+
+
 def auc(rows: DataFrame, p: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties counting half; null where one class is missing."""
     keys = keys or []

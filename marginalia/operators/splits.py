@@ -91,6 +91,19 @@ def multi_manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return corpus, asked.join(found, "query_id", "left").select("query_id", "paper_id", "question", checked.alias("relevant_indices"))
 
 
+def eligible_by_paper(papers: DataFrame, members: DataFrame, excluded: DataFrame, types: tuple[str, ...] = ("table", "figure")) -> DataFrame:
+    """(paper_id, qa_index, question, reference, content_type) of the questions that a paper may contribute.
+
+    papers(paper_id, qa ARRAY<STRUCT<question, reference>>, all_figures MAP<STRING, STRUCT<content_type,
+    ...>>), members(paper_id, reference): figures that are stored, excluded(paper_id). A question
+    stays if its figure is one of the paper's, of one of the types, and stored.
+    """
+    asked = papers.join(excluded.select("paper_id").distinct(), "paper_id", "left_anti").select("paper_id", "all_figures", F.posexplode("qa").alias("qa_index", "qa"))
+    kind = F.try_element_at("all_figures", F.col("qa.reference"))["content_type"]
+    rows = asked.where(F.col("qa.reference").isNotNull()).select("paper_id", "qa_index", "qa.question", "qa.reference", kind.alias("content_type"))
+    return rows.where(F.col("content_type").isin(*types)).join(members.select("paper_id", "reference").distinct(), ["paper_id", "reference"], "left_semi")
+
+
 def shared_groups(df: DataFrame, group: Column, split: str = "split") -> DataFrame:
     """(split_a, split_b, shared): groups that two splits have in common, for pairs that share any."""
     g = df.select(group.alias("g"), F.col(split).alias("s")).where("g is not null and s is not null").distinct()

@@ -29,6 +29,14 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, fractions: list[flo
     return placed.groupBy(*keys, "n").agg(*outs)
 
 
+def bucket(value: Column, bounds: tuple, names: tuple[str, ...]) -> Column:
+    """The name of the first bucket whose upper bound a value does not exceed, the last name beyond all; unknown for null."""
+    out = F.when(value.isNull(), "unknown")
+    for b, name in zip(bounds, names):
+        out = out.when(value <= b, name)
+    return out.otherwise(names[len(bounds)])
+
+
 def mcnemar(worse: Column, better: Column) -> Column:
     """Exact two-sided p of discordant counts; 1 without any. Summed in logarithms."""
     d = worse + better

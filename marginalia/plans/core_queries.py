@@ -197,6 +197,26 @@ def evidence_remap(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    rf"""
+    WITH lines AS (SELECT {sql.paper_key('paper_id')} AS paper, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+    c AS (SELECT paper, doc_id, pos, {sql.evidence('line')} AS form FROM lines WHERE paper IS NOT NULL AND {sql.evidence('line')} <> ''),
+    e AS (SELECT audit_id, {sql.paper_key('paper_id')} AS paper, unnest(unmapped_evidence) AS item FROM evidence_audit),
+    f AS (SELECT DISTINCT audit_id, paper, {sql.evidence('item')} AS form FROM e WHERE paper IS NOT NULL AND {sql.evidence('item')} NOT IN ('', 'float selected'))
+    SELECT audit_id, count(*) AS relevant, string_agg(doc_id || '/' || pos, ',' ORDER BY doc_id, pos) AS positions FROM f JOIN c USING (paper, form) GROUP BY audit_id
+    """
+)
+def relevant_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Places, by document and line, of the paper's lines that a question's evidence repeats."""
+    lines = table(spark, d, "documents").select(text.paper_key("paper_id").alias("paper_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    items = table(spark, d, "evidence_audit").select(
+        text.paper_key("paper_id").alias("paper_id"), F.col("audit_id").alias("question_id"), F.posexplode("unmapped_evidence").alias("pos", "item")
+    )
+    found = evidence.relevant_positions(items.where("paper_id is not null"), lines.where("paper_id is not null"), ["doc_id", "line"])
+    places = F.array_join(F.transform("relevant", lambda x: F.concat_ws("/", x["doc_id"].cast("string"), x["line"].cast("string"))), ",")
+    return found.select(F.col("question_id").alias("audit_id"), _long(F.size("relevant")).alias("relevant"), places.alias("positions"))
+
+
 _PAGES_SQL = rf"""
     docs AS (SELECT arg_max(record_id, record_id) AS record_id, document_id, route, arg_max(pages, record_id) AS pages FROM canonical_documents
       WHERE document_id IS NOT NULL AND route IN ('cheap', 'strong') GROUP BY document_id, route),
@@ -242,7 +262,17 @@ def _routed_blocks(spark: SparkSession, d: str) -> DataFrame:
 )
 def page_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of the cheap parse as paragraphs, mapped to the pages of the strong parse."""
-    blocks = _routed_blocks(spark, d).where("text is not null").withColumn("form", text.evidence_form("text"))
+    return _mapped(spark, d, text.evidence_form)
+
+
+@query()
+def page_mapping_pdf(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the form of PDF texts: widths alike, words joined that a line end breaks."""
+    return _mapped(spark, d, text.pdf_form)
+
+
+def _mapped(spark: SparkSession, d: str, form) -> DataFrame:
+    blocks = _routed_blocks(spark, d).where("text is not null").withColumn("form", form("text"))
     pages = blocks.where("route = 'strong'").groupBy(F.col("document_id").alias("document"), F.col("page_pos").alias("page")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_pos", "form"))), lambda x: x["form"]), " ").alias("form")
     )
@@ -382,6 +412,19 @@ def maxsim_topk(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, 10, patch=16)
 
 
+@query(
+    f"""WITH pool AS (SELECT query_id, doc_id FROM {_ranks(_sims(1, 16))} WHERE rank <= 20), s AS (SELECT query_id, doc_id, score FROM pool JOIN {_sims(1, None)} USING (query_id, doc_id))
+    SELECT query_id, doc_id, round(score, 9) AS score, rank FROM {_ranks('s')} WHERE rank <= 5"""
+)
+def frozen_pool_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates that a part of the vectors gave, kept as they are and ranked anew by the whole vectors."""
+    pool = retrieval.search(*_vectors(spark, d), 20, 1, 16).select("query_id", "doc_id")
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    ends = pool.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id")
+    top = retrieval.ranked(ends.select("query_id", "doc_id", retrieval.dot(F.col("q"), F.col("v")).alias("score")), ["query_id"], n=5)
+    return top.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
 _STRONG_32 = _sims(1, 32)
 
 
@@ -395,7 +438,7 @@ _STRONG_32 = _sims(1, 32)
 )
 def score_signals(spark: SparkSession, d: str) -> DataFrame:
     """Confidence signals of the strong ranking's scores."""
-    s = retrieval.signals(retrieval.dense(*_vectors(spark, d), 1, 32), ["query_id"])
+    s = retrieval.search_signals(*_vectors(spark, d), 1, 32)
     return s.select("query_id", "candidates", *[F.round(c, 9).alias(c) for c in ("top_score", "top_margin", "normalized_entropy")])
 
 
@@ -423,30 +466,45 @@ def retrieval_metrics_by_method(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.mean_metrics(_list_metrics(spark, d), ["method"])
 
 
+_AT_SQL = "floor(100.0::DOUBLE * list_min(rel) / greatest(1, paragraph_count - 1))"
+# The first words of questions that are told apart, and the strata's upper bounds with their names.
+LEADS = ("what", "how", "which", "why", "does", "do", "is", "are", "was", "were")
+PARAGRAPHS = ((25, 50, 100), ("<=25", "26-50", "51-100", ">100"))
+POSITIONS = ((24, 49, 74), ("Q1", "Q2", "Q3", "Q4"))
+
+
 @query(
     f"""
-    WITH {_LIST_SQL}, x AS (SELECT result_id, unnest(['n_relevant', 'paragraphs', 'earliest']) AS field,
-      unnest([CASE WHEN n_rel = 0 THEN 'none' WHEN n_rel = 1 THEN 'single' ELSE 'multiple' END,
-        CASE WHEN paragraph_count IS NULL THEN 'unknown' WHEN paragraph_count <= 32 THEN '0-32' WHEN paragraph_count <= 64 THEN '33-64' ELSE '65+' END,
-        CASE WHEN n_rel = 0 OR paragraph_count IS NULL THEN 'unknown' WHEN floor(100.0::DOUBLE * list_min(rel) / greatest(1, paragraph_count - 1)) <= 25 THEN 'q1'
-          WHEN floor(100.0::DOUBLE * list_min(rel) / greatest(1, paragraph_count - 1)) <= 50 THEN 'q2' WHEN floor(100.0::DOUBLE * list_min(rel) / greatest(1, paragraph_count - 1)) <= 75 THEN 'q3' ELSE 'q4' END]) AS value,
-      recall_at_5 FROM lm)
+    WITH {_LIST_SQL}, asked AS (SELECT {sql.paper_key('paper_id')} AS paper, {sql.real_id('question_id')} AS question, arg_max(question, audit_id) AS words FROM evidence_audit
+      WHERE question IS NOT NULL AND {sql.paper_key('paper_id')} IS NOT NULL AND {sql.real_id('question_id')} IS NOT NULL GROUP BY 1, 2),
+    l AS (SELECT lm.*, words, {sql.tokens('words')}[1] AS t FROM lm LEFT JOIN asked ON asked.paper = {sql.paper_key('lm.paper_id')} AND asked.question = {sql.real_id('lm.question_id')}),
+    x AS (SELECT result_id, unnest(['question_lead', 'evidence_count', 'paper_paragraphs', 'evidence_position']) AS field,
+      unnest([CASE WHEN words IS NULL THEN 'unknown' WHEN t IN ({", ".join(f"'{x}'" for x in LEADS)}) THEN t ELSE 'other' END,
+        CASE WHEN n_rel = 0 THEN 'none' WHEN n_rel = 1 THEN 'single' ELSE 'multiple' END,
+        CASE WHEN paragraph_count IS NULL THEN 'unknown' WHEN paragraph_count <= 25 THEN '<=25' WHEN paragraph_count <= 50 THEN '26-50' WHEN paragraph_count <= 100 THEN '51-100' ELSE '>100' END,
+        CASE WHEN n_rel = 0 OR paragraph_count IS NULL THEN 'unknown' WHEN {_AT_SQL} <= 24 THEN 'Q1' WHEN {_AT_SQL} <= 49 THEN 'Q2' WHEN {_AT_SQL} <= 74 THEN 'Q3' ELSE 'Q4' END]) AS value,
+      recall_at_5 FROM l)
     SELECT field, value, count(*) AS questions, round(avg(CASE WHEN recall_at_5 > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS hit_at_5, round(avg(recall_at_5), 9) AS recall_at_5 FROM x GROUP BY ALL
     """
 )
 def strata_grouping(spark: SparkSession, d: str) -> DataFrame:
-    """Hits and recall at five by number of relevant paragraphs, length of paper and place of evidence."""
+    """Hits and recall at five by first word of the question, number of relevant paragraphs, length of paper and place of evidence."""
+    keys = [text.paper_key("paper_id").alias("paper"), text.real_id("question_id").alias("asked")]
+    questions = table(spark, d, "evidence_audit").where("question is not null").select(*keys, "question", "audit_id").where("paper is not null and asked is not null")
+    words = questions.groupBy("paper", "asked").agg(F.max_by("question", "audit_id").alias("words"))
+    rows = _list_metrics(spark, d).select("*", *keys).join(words, ["paper", "asked"], "left")
     rel = F.filter(F.coalesce("relevant_indices", F.array().cast("array<int>")), lambda x: x.isNotNull())
     n = F.size(F.array_distinct(rel))
     at = F.floor(F.lit(100.0) * F.array_min(rel) / F.greatest(F.lit(1), F.col("paragraph_count") - 1))
+    first = F.try_element_at(text.tokens("words"), F.lit(1))
     strata = {
-        "n_relevant": F.when(n == 0, "none").when(n == 1, "single").otherwise("multiple"),
-        "paragraphs": F.when(F.col("paragraph_count").isNull(), "unknown").when(F.col("paragraph_count") <= 32, "0-32").when(F.col("paragraph_count") <= 64, "33-64").otherwise("65+"),
-        "earliest": F.when((n == 0) | F.col("paragraph_count").isNull(), "unknown").when(at <= 25, "q1").when(at <= 50, "q2").when(at <= 75, "q3").otherwise("q4"),
+        "question_lead": F.when(F.col("words").isNull(), "unknown").when(first.isin(*LEADS), first).otherwise("other"),
+        "evidence_count": F.when(n == 0, "none").when(n == 1, "single").otherwise("multiple"),
+        "paper_paragraphs": stats.bucket(F.col("paragraph_count"), *PARAGRAPHS),
+        "evidence_position": stats.bucket(F.when(n > 0, at), *POSITIONS),
     }
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in strata.items()]))
-    rows = _list_metrics(spark, d).select("recall_at_5", each.alias("s")).select("s.*", "recall_at_5")
-    return rows.groupBy("field", "value").agg(
+    return rows.select("recall_at_5", each.alias("s")).select("s.*", "recall_at_5").groupBy("field", "value").agg(
         F.count("*").alias("questions"),
         F.round(F.avg(F.when(F.col("recall_at_5") > 0, 1.0).otherwise(0.0)), 9).alias("hit_at_5"),
         F.round(F.avg("recall_at_5"), 9).alias("recall_at_5"),

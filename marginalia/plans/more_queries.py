@@ -12,8 +12,7 @@ from . import core_queries as core
 from . import sql
 from .core_queries import query
 
-# The first words of questions that are told apart.
-LEADS = ("what", "how", "which", "why", "does", "do", "is", "are", "was", "were")
+LEADS = core.LEADS
 
 
 @query(
@@ -120,23 +119,32 @@ _PAGES_SEEN = f"""
 
 @query(
     _PAGES_SEEN
-    + """, h AS (SELECT r.result_id, count(*) AS n, count(s.page) AS got FROM r LEFT JOIN (SELECT * FROM s WHERE rank <= 3) s USING (result_id, page) GROUP BY r.result_id)
-    SELECT count(*) AS questions, round(avg(got::DOUBLE / n), 9) AS page_recall_at_3, round(avg(CASE WHEN got > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS page_hit_at_3 FROM h"""
+    + """, h AS (SELECT r.result_id, r.page, coalesce(bool_or(s.page = r.page), false) AS got, coalesce(bool_or(abs(s.page - r.page) <= 1), false) AS near
+      FROM r LEFT JOIN (SELECT * FROM s WHERE rank <= 3) s ON r.result_id = s.result_id GROUP BY r.result_id, r.page),
+    q AS (SELECT result_id, count_if(got)::DOUBLE / count(*) AS recall, count_if(near)::DOUBLE / count(*) AS near FROM h GROUP BY result_id)
+    SELECT count(*) AS questions, round(avg(recall), 9) AS page_recall_at_3, round(avg(CASE WHEN recall > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS page_hit_at_3,
+      round(avg(near), 9) AS adjacent_recall_at_3, round(avg(CASE WHEN near > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS adjacent_hit_at_3 FROM q"""
 )
 def ranked_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Recall and hits of the first three pages that rankings of paragraphs meet (page: index modulo 8)."""
+    """Recall and hits of the first three pages that rankings of paragraphs meet, alone and with the pages beside them (page: index modulo 8)."""
     from ..operators.evidence import pages_of_ranking
 
     empty = F.array().cast("array<int>")
     rows = table(spark, d, "retrieval_results").select("result_id", F.coalesce("top_indices", empty).alias("top"), F.coalesce("relevant_indices", empty).alias("rel"))
     ranking = rows.select("result_id", F.posexplode("top").alias("rank", "paragraph_id")).where("paragraph_id is not null")
     mapping = ranking.select("paragraph_id").distinct().withColumn("page", F.col("paragraph_id") % 8)
-    seen = pages_of_ranking(ranking, mapping, ["result_id"], 3).select("result_id", "page", F.lit(1).alias("got"))
+    seen = pages_of_ranking(ranking, mapping, ["result_id"], 3).select("result_id", F.col("page").alias("met"))
     wanted = rows.select("result_id", F.explode("rel").alias("i")).where("i is not null").select("result_id", (F.col("i") % 8).alias("page")).distinct()
-    per = wanted.join(seen, ["result_id", "page"], "left").groupBy("result_id").agg((F.count("got") / F.count("*")).alias("recall"))
+    apart = F.abs(F.col("met") - F.col("page"))  # at most three pages met for each wanted one
+    each = wanted.join(seen, "result_id", "left").groupBy("result_id", "page").agg(F.min(apart).alias("apart"))
+    per = each.groupBy("result_id").agg((F.count_if(F.col("apart") == 0) / F.count("*")).alias("recall"), (F.count_if(F.col("apart") <= 1) / F.count("*")).alias("near"))
+
+    def hit(c: str):
+        return F.round(F.avg(F.when(F.col(c) > 0, 1.0).otherwise(0.0)), 9)
+
     return per.agg(
-        F.count("*").alias("questions"), F.round(F.avg("recall"), 9).alias("page_recall_at_3"),
-        F.round(F.avg(F.when(F.col("recall") > 0, 1.0).otherwise(0.0)), 9).alias("page_hit_at_3"),
+        F.count("*").alias("questions"), F.round(F.avg("recall"), 9).alias("page_recall_at_3"), hit("recall").alias("page_hit_at_3"),
+        F.round(F.avg("near"), 9).alias("adjacent_recall_at_3"), hit("near").alias("adjacent_hit_at_3"),
     )
 
 

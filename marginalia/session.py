@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,13 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and forget how it was made.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is
-    set (tests, notebooks) a temporary one is chosen. Files there survive lost executors.
+    The folder is the one the session names in spark.checkpoint.dir; only where none is set
+    and the master is local (tests, notebooks) a temporary one is chosen, elsewhere RuntimeError
+    is raised. Files there survive lost executors.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marginalia-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marginalia-"))
     return df.checkpoint(eager=True)
 
 

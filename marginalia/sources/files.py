@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import json
 import tarfile
 import zipfile
@@ -17,6 +16,12 @@ BOX = "STRUCT<xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE>"
 VOC = f"filename STRING, object ARRAY<STRUCT<name: STRING, bndbox: {BOX}>>"
 
 
+# How pages are named, by archive number or by page and table.
+ARCHIVED = r"(?i)^(PMC\d+)_\d+$"
+NUMBERED = r"(?i)[_-](?:page|table)[_-]?\d+"
+PAGE = r"(?i)(?:[_-]page[_-]?|^PMC\d+_)(\d+)$"
+
+
 def file_stem(path: Column) -> Column:
     """File name without folders and ending."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
@@ -25,13 +30,13 @@ def file_stem(path: Column) -> Column:
 def document_id(name: Column) -> Column:
     """Document of a page file: its archive number if it has one, else what precedes page or table."""
     stem = file_stem(name)
-    official = F.regexp_extract(stem, r"(?i)^(PMC\d+)_\d+$", 1)
-    return F.when(official != "", official).otherwise(F.element_at(F.split(stem, r"(?i)[_-](?:page|table)[_-]?\d+", 2), 1))
+    official = F.regexp_extract(stem, ARCHIVED, 1)
+    return F.when(official != "", official).otherwise(F.element_at(F.split(stem, NUMBERED, 2), 1))
 
 
 def page_index(name: Column) -> Column:
     """Page number in a page file's name, null if there is none."""
-    found = F.regexp_extract(file_stem(name), r"(?i)(?:[_-]page[_-]?|^PMC\d+_)(\d+)$", 1)
+    found = F.regexp_extract(file_stem(name), PAGE, 1)
     return F.when(found != "", found.cast("int"))
 
 
@@ -78,13 +83,20 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def prediction_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with their file; blank and broken lines are kept apart in _corrupt."""
-    return (
-        spark.read.schema(f"{schema}, _corrupt STRING")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-        .withColumn("path", F.col("_metadata.file_path"))
-    )
+    """JSON lines with their file and place; broken lines are kept apart in _corrupt, blank ones dropped.
+
+    (path, place) orders the lines of a file as written: the place is where the block of the file
+    starts and the line's place within it.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("place"), "value").where(F.trim("value") != "")
+    read = F.from_json("value", f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select("path", "place", read.alias("x")).select("path", "place", "x.*")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def latest_predictions(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -97,35 +109,57 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("offset") >= 0).groupBy("offset").agg(F.max_by("path", "run_id").alias("path"))
 
 
+def _opened(path: str):
+    """A file of any file system that Arrow knows, for reading at any place."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return system.open_input_file(inner)
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of archives, one task each where there are cores for it; their bytes are not read here."""
+    found = spark.read.format("binaryFile").load(path).select("path")
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def archive_json(spark: SparkSession, path: str, member: str) -> DataFrame:
     """(path, key, value) of a JSON object kept as a member of tar.gz archives, values as JSON text.
 
-    One task reads one archive; a missing member gives nothing.
+    One task streams one archive up to the member; a missing member gives nothing.
     """
 
     def run(batches):
         for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as bundle:
-                    if member not in bundle.getnames():
-                        continue
-                    data = json.load(bundle.extractfile(member))
-                yield pd.DataFrame({"path": p, "key": list(data), "value": [json.dumps(v, ensure_ascii=False) for v in data.values()]})
+            for p in batch["path"]:
+                with _opened(p) as f, tarfile.open(fileobj=f, mode="r|gz") as bundle:
+                    for entry in bundle:
+                        if entry.name == member:
+                            data = json.load(bundle.extractfile(entry))
+                            yield pd.DataFrame({"path": p, "key": list(data), "value": [json.dumps(v, ensure_ascii=False) for v in data.values()]})
+                            break
+
+    return _archives(spark, path).mapInPandas(run, "path string, key string, value string")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, key string, value string")
+def split_of_archive(spark: SparkSession, path: str, split: str, members: dict[str, str]) -> DataFrame:
+    """archive_json of the member that holds a split; ValueError for a split that is not among them."""
+    if split not in members:
+        raise ValueError(f"no split {split!r} among {sorted(members)}")
+    return archive_json(spark, path, members[split])
 
 
 def zip_members(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """(path, name, bytes) of the members of zip archives; bytes are null unless asked for."""
+    """(path, name, bytes) of the members of zip archives; bytes are null unless asked for, and then only the directory is read."""
 
     def run(batches):
         for batch in batches:
-            for p, data in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for p in batch["path"]:
+                with _opened(p) as f, zipfile.ZipFile(f) as z:
                     for name in z.namelist():
                         yield pd.DataFrame({"path": [p], "name": [name], "bytes": [z.read(name) if content else None]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, bytes binary")
+    return _archives(spark, path).mapInPandas(run, "path string, name string, bytes binary")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

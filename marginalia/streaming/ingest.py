@@ -6,6 +6,7 @@ parses only what the results table lacks and appends to it, so a restart repeats
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ def new_work(stream: DataFrame, key: str, arrived: str, delay: str = "1 hour") -
 def _known(spark: SparkSession, results: str, like: DataFrame) -> DataFrame:
     try:
         return spark.read.parquet(results)
-    except Exception:  # nothing written yet
-        return like.limit(0)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)  # nothing written yet
 
 
 def ingest(stream: DataFrame, results: str, checkpoint: str, parser: str = "text", once: bool = True):

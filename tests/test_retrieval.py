@@ -184,3 +184,52 @@ def test_fusion_with_index_tail(spark):
             want[i] += 1 / (60 + rank)
     got = {r.doc_id: r.score for r in retrieval.fuse(both, ["query_id"], tail="index", candidates=every).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_signals_of_blocks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).astype("float32").tolist()) for i in range(60)] + [(60, None), (61, [1.0] * 6), (62, [1.0] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = v.where("vec_id % 20 = 0 or vec_id = 61")
+    want = {r.query_id: r for r in retrieval.signals(retrieval.dense(v, asked), ["query_id"]).collect()}
+    for size in (7, 1000):
+        got = {r.query_id: r for r in retrieval.search_signals(v, asked, rows=size).collect()}
+        assert got.keys() == want.keys() and len(got) == 4
+        for k, r in got.items():
+            assert r.candidates == want[k].candidates == 61
+            assert all(abs(r[c] - want[k][c]) < 1e-9 for c in ("top_score", "top_margin", "normalized_entropy"))
+    two = v.where("vec_id >= 61")
+    assert [(r.candidates, r.top_margin, r.normalized_entropy) for r in retrieval.search_signals(two, two).collect()] == [(1, 0.0, 0.0)] * 2
+    assert retrieval.search_signals(v.where("vec_id < 0"), asked).count() == 0
+
+
+def test_evidence_positions(spark):
+    from marginalia.operators import evidence
+
+    text = ["Alpha beta.", "gamma  DELTA", "alpha BETA.", "", "epsilon"]
+    p = spark.createDataFrame([("p", t, i) for i, t in enumerate(text)] + [("other", "epsilon", 0)], "paper_id string, paragraph string, idx int")
+    e = spark.createDataFrame(
+        [("p", "q1", "alpha beta."), ("p", "q1", "Gamma delta"), ("p", "q2", "epsilon"), ("p", "q3", "nowhere"), ("p", "q4", "FLOAT SELECTED"), ("p", "q4", ""), ("p", "q5", None)],
+        "paper_id string, question_id string, item string",
+    )
+    got = {r.question_id: [x.idx for x in r.relevant] for r in evidence.relevant_positions(e, p, ["idx"]).collect()}
+    assert got == {"q1": [0, 1, 2], "q2": [4]}
+
+
+def test_pdf_texts_map_over_line_ends(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions import text
+    from marginalia.operators import evidence
+
+    p = spark.createDataFrame([("d", "a", "The classi\ufb01er converges quickly")], "document string, paragraph_id string, t string").withColumn("form", text.pdf_form("t"))
+    g = spark.createDataFrame([("d", 0, "Nothing here"), ("d", 1, "so the classifier con-\nverges   quickly, as seen")], "document string, page int, t string")
+    row = evidence.map_to_pages(p, g.withColumn("form", text.pdf_form("t"))).first()
+    assert (row.status, row.page) == ("exact", 1)
+    plain = evidence.map_to_pages(p.withColumn("form", text.evidence_form("t")), g.withColumn("form", text.evidence_form(F.col("t")))).first()
+    assert plain.status != "exact"

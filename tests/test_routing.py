@@ -138,3 +138,41 @@ def test_configured_grid(spark, data, monkeypatch):
     monkeypatch.setattr(more_queries.routing, "router_grid", grid)
     more_queries.router_grid(spark, data)
     assert asked == [([0.1, 0.25, 1.0], [1.0, 2.0, 4.0], (0.85, 0.95, 0.95))]
+
+
+def test_infeasible_gates_are_an_error(spark):
+    import pytest
+
+    from marginalia.operators import routing
+
+    rows = spark.createDataFrame([(0.1 * i, 0.5, 1.0 if i > 5 else 0.0, 0.0, 1.0) for i in range(10)], "p double, mrr_c double, mrr_s double, recall_at_1_c double, recall_at_1_s double")
+    sweep = routing.threshold_sweep(rows, {m: (f"{m}_c", f"{m}_s") for m in ("mrr", "recall_at_1")})
+    assert routing.select_threshold(sweep, 0.45).route_rate <= 0.45
+    with pytest.raises(ValueError):
+        routing.select_threshold(sweep, 0.1, min_r1_retention=0.9)
+
+
+def test_buckets_close_above(spark):
+    from marginalia.operators import stats
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(v,) for v in (None, -3, 24, 25, 49, 50, 74, 75, 10**9)], "v long")
+    got = [r[0] for r in df.select(stats.bucket(F.col("v"), (24, 49, 74), ("a", "b", "c", "d"))).collect()]
+    assert got == ["unknown", "a", "a", "b", "b", "c", "c", "d", "d"]
+
+
+def test_eligible_questions(spark):
+    from marginalia.operators import splits
+
+    figure = "struct<content_type:string,caption:string>"
+    papers = spark.createDataFrame(
+        [
+            ("p1", [("q0", "a"), ("q1", "b"), ("q2", "gone"), ("q3", None), ("q4", "c")], {"a": ("table", "x"), "b": ("scheme", "y"), "c": ("figure", None)}),
+            ("p2", [("q0", "a")], {"a": ("table", "x")}),
+            ("p3", None, None),
+        ],
+        f"paper_id string, qa array<struct<question:string,reference:string>>, all_figures map<string,{figure}>",
+    )
+    members = spark.createDataFrame([("p1", "a"), ("p1", "a"), ("p1", "b"), ("p2", "a"), ("p1", "gone")], "paper_id string, reference string")
+    got = splits.eligible_by_paper(papers, members, spark.createDataFrame([("p2",)], "paper_id string")).collect()
+    assert [(r.paper_id, r.qa_index, r.question, r.reference, r.content_type) for r in got] == [("p1", 0, "q0", "a", "table")]

@@ -100,3 +100,47 @@ def test_multi_manifest(spark):
     corpus, queries = splits.multi_manifest(rows)
     assert corpus.count() == 2
     assert {r.query_id: r.relevant_indices for r in queries.collect()} == {"1": [0, 1], "2": [1]}
+
+
+def test_lines_keep_their_place(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text("\n".join(['{"k": 1, "v": "old"}', "", "{broken", '{"k": 2, "v": "x"}', '{"k": 1, "v": "new"}']) + "\n")
+    lines = files.prediction_lines(spark, str(tmp_path / "p.jsonl"), "k INT, v STRING")
+    assert [(r.k, r.v) for r in lines.orderBy("path", "place").collect()] == [(1, "old"), (None, None), (2, "x"), (1, "new")]
+    assert lines.where("_corrupt is not null").count() == 1
+    last = files.latest_predictions(lines.where("_corrupt is null"), ["k"], ["path", "place"])
+    assert {r.k: r.v for r in last.collect()} == {1: "new", 2: "x"}
+
+
+def test_hashes_and_splits(spark, tmp_path):
+    import hashlib
+    import io
+    import tarfile
+
+    import pytest
+
+    (tmp_path / "a.bin").write_bytes(b"\x00abc" * 1000)
+    got = files.file_hashes(spark, str(tmp_path / "a.bin")).first()
+    assert (got.length, got.sha256) == (4000, hashlib.sha256(b"\x00abc" * 1000).hexdigest())
+    with tarfile.open(tmp_path / "x.tgz", "w:gz") as t:
+        for name, body in (("filler.json", b"[]" * 5000), ("dev.json", b'{"p1": {"n": 1}, "p2": null}')):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    got = {r.key: r.value for r in files.split_of_archive(spark, str(tmp_path / "x.tgz"), "dev", {"dev": "dev.json", "train": "train.json"}).collect()}
+    assert got == {"p1": '{"n": 1}', "p2": "null"}
+    assert files.split_of_archive(spark, str(tmp_path / "x.tgz"), "train", {"train": "train.json"}).count() == 0
+    with pytest.raises(ValueError):
+        files.split_of_archive(spark, str(tmp_path / "x.tgz"), "test", {"dev": "dev.json"})
+
+
+def test_ingest_tells_a_broken_table_from_a_missing_one(spark, tmp_path):
+    import pytest
+
+    from marginalia.streaming import ingest
+
+    like = spark.createDataFrame([("d",)], "document_id string")
+    assert ingest._known(spark, str(tmp_path / "nothing"), like).count() == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        ingest._known(spark, str(tmp_path / "broken"), like).count()
