@@ -279,19 +279,19 @@ def alike_classes(forms: DataFrame, kind: str = "kind", key: str = "key") -> Dat
     spelling than this one. Copies of one text are counted, not paired. Empty forms are no class.
     """
     f = cut_lineage(
-        forms.where(F.col("form") != "").select(
-            F.col(kind).alias("kind"), F.col(key).alias("key"), F.sha2("form", 256).alias("class"), F.sha2("text", 256).alias("spelling")
-        )
+        forms.where(F.col("form") != "").select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.md5("form").alias("class"), F.md5("text").alias("spelling"))
     )
+    several = f.groupBy("kind", "class").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("kind", "class")
+    f = cut_lineage(f.join(several, ["kind", "class"]))
     per = f.groupBy("kind", "class", "spelling").agg(F.count("*").alias("copies"))
-    of = per.groupBy("kind", "class").agg(F.count("*").alias("texts"), F.sum("copies").alias("rows")).where("texts > 1")
+    of = per.groupBy("kind", "class").agg(F.count("*").alias("texts"), F.sum("copies").alias("rows"))
     counted = per.join(of, ["kind", "class"]).withColumn("links", F.col("rows") - F.col("copies"))
     return f.join(counted.drop("copies"), ["kind", "class", "spelling"])
 
 
 def alike_pairs(forms: DataFrame, kind: str = "kind", key: str = "key") -> DataFrame:
     """(kind, key_a, key_b): rows whose texts differ in characters but have one form, the classes expanded."""
-    f = cut_lineage(alike_classes(forms, kind, key).select("kind", "key", "class", "spelling"))
+    f = alike_classes(forms, kind, key).select("kind", "key", "class", "spelling")
     a, b = f.alias("a"), f.alias("b")
     same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.class") == F.col("b.class"))
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import sql
 from ..session import cut_lineage, spread, table
 from . import encoding, group_split, lookalike, mixing, overlap, quantiles, subjects
 
@@ -144,4 +145,16 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_shares": p8_shares,
 }
-SQL: dict[str, str] = {}
+# connected papers by closure over the questions they share: for the small tables of the SQL check
+_NODES_SQL = f"""
+    WITH RECURSIVE k AS (SELECT result_id, {sql.paper_key('paper_id')} AS p, {sql.real_id('question_id')} AS q FROM retrieval_results),
+    pq AS (SELECT DISTINCT p, q FROM k WHERE p IS NOT NULL AND q IS NOT NULL),
+    tie AS (SELECT DISTINCT a.p AS a, b.p AS b FROM (SELECT q, min(p) AS p FROM pq GROUP BY q) a JOIN pq b USING (q) WHERE a.p <> b.p),
+    both_ AS (SELECT a, b FROM tie UNION SELECT b, a FROM tie),
+    reach AS (SELECT DISTINCT p AS a, p AS b FROM k WHERE p IS NOT NULL UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON both_.a = reach.b),
+    comp AS (SELECT a AS p, min(b) AS c FROM reach GROUP BY a),
+    home AS (SELECT q, min(p) AS p FROM pq GROUP BY q),
+    n AS (SELECT result_id, CASE WHEN coalesce(k.p, home.p) IS NOT NULL THEN 'paper ' || comp.c WHEN k.q IS NOT NULL THEN 'question ' || k.q ELSE 'row ' || result_id END AS node
+      FROM k LEFT JOIN home ON home.q = k.q LEFT JOIN comp ON comp.p = coalesce(k.p, home.p))
+"""
+SQL: dict[str, str] = {"p4_found": _NODES_SQL + "SELECT result_id, min(result_id) OVER (PARTITION BY node) AS group_id FROM n"}

@@ -150,7 +150,7 @@ def learn(tokens: DataFrame, known: DataFrame, n: int, strength: float, least_do
             lengths = [len(t) for t in batch["term"]]
             if not sum(lengths):
                 continue
-            distinct, place = np.unique(np.concatenate(batch["term"].to_list()), return_inverse=True)
+            place, distinct = pd.factorize(np.concatenate(batch["term"].to_list()))
             pair = np.unique(place * len(lengths) + np.repeat(np.arange(len(lengths)), lengths))  # term and document, each pair once
             place, at = np.divmod(pair, len(lengths))
             held = np.unique(place * len(hashes) + paper[at])  # term and paper, each pair once
