@@ -1117,22 +1117,28 @@ def page_offset_prefix(spark: SparkSession, d: str) -> DataFrame:
     ).select(F.concat("document_id", F.lit("_table_"), "i", F.lit(".xml")).alias("file"), "document_id", _long("page_pos").alias("page_pos"))
 
 
-def _table_cells(spark: SparkSession, d: str, route: str, name: str) -> DataFrame:
-    """Cells of every table of a route: regions of the cells stated with offsets, else one slot each, with its stored box or a zero box."""
-    w = Window.partitionBy("document_id", "page_pos").orderBy("block_pos")
-    grid = _routed_blocks(spark, d).where((F.col("type") == "table") & (F.col("route") == route)).select(
-        "document_id", "page_pos", (F.row_number().over(w) - 1).alias("table_index"),
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of every table of both routes: regions of the cells stated with offsets, else one slot each, with its stored box or a zero box."""
+    w = Window.partitionBy("document_id", "route", "page_pos").orderBy("block_pos")
+    grid = _routed_blocks(spark, d).where(F.col("type") == "table").select(
+        "document_id", "route", "page_pos", (F.row_number().over(w) - 1).alias("table_index"),
         F.from_json(F.expr("metadata['grid_cell_bboxes']"), "array<array<array<double>>>").alias("stored"),
         F.from_json(F.expr("metadata['table_cells']"), structure.REGIONS).alias("regions"),
         F.expr("try_cast(metadata['row_count'] AS INT)").alias("r"), F.expr("try_cast(metadata['column_count'] AS INT)").alias("c"),
     )
     cells = F.when(F.size("regions") > 0, structure.region_cells(F.col("regions"))).otherwise(structure.predicted_cells(F.col("r"), F.col("c"), F.col("stored")))
-    return grid.select("document_id", "page_pos", "table_index", cells.alias(name))
+    return grid.select("document_id", "route", "page_pos", "table_index", cells.alias("cells"))
+
+
+def _table_cells(spark: SparkSession, d: str, route: str, name: str) -> DataFrame:
+    """Cells of every table of a route."""
+    return _cells(spark, d).where(F.col("route") == route).select("document_id", "page_pos", "table_index", F.col("cells").alias(name))
 
 
 @query()
 def grits_top_loc(spark: SparkSession, d: str) -> DataFrame:
     """Grid alignment of the cheap parse's tables with the strong one's, missing tables scoring 0."""
     keys = ["document_id", "page_pos", "table_index"]
-    pairs = _table_cells(spark, d, "strong", "t").join(_table_cells(spark, d, "cheap", "p"), keys, "full_outer")
+    of = F.col("route")  # a route has one table of an index
+    pairs = _cells(spark, d).groupBy(*keys).agg(*[F.max_by("cells", F.when(of == r, 1)).alias(c) for r, c in (("strong", "t"), ("cheap", "p"))])
     return pairs.withColumn("s", structure.grits_scores(F.col("t"), F.col("p"))).select(*keys, "s.*")
