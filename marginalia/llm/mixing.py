@@ -135,7 +135,7 @@ class Mix:
             .select("d.*")
         )
         self.sized = cut_lineage(
-            spread(texts, "doc_id").select("doc_id", "source", token_count("text", tokenizer, folder).alias("tokens")).where("tokens > 0")
+            spread(texts, "doc_id").select("doc_id", "source", token_count("text", tokenizer, folder).alias("tokens"))  # at least one each
         )
         self._lay_out(order_rows)
         self._draw(spare, slots, shards)
