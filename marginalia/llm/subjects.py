@@ -49,7 +49,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import paper_key
 from ..session import cut_lineage, spread
-from .lookalike import respelled
+from .lookalike import by_table
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 PLAIN = re.compile("[a-z]+")
@@ -89,7 +89,11 @@ def text_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(unit, term) of a text: hashes of its words and of the word pairs inside a unit."""
     found, ends = [], []
     for unit in text_units(text):
-        found += map(_word, PLAIN.findall(unit.lower()) if unit.isascii() else WORD.findall(respelled(unit).casefold()))
+        if unit.isascii():
+            found += map(_word, PLAIN.findall(unit.lower()))
+        else:  # tokens come again, so each is spelled once
+            spelled = " ".join([t if t.isascii() else by_table(t) for t in unit.split()])
+            found += map(_word, WORD.findall(spelled.casefold()))
         ends.append(len(found))
     words = np.array(found, dtype=np.uint64)
     unit = np.repeat(np.arange(len(ends)), np.diff(np.array(ends, dtype=np.int64), prepend=0))
